@@ -26,6 +26,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"), F.col("quality.base_failed").alias("base_failed"), F.col("quality.kept").alias("kept"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"), F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+
+
 #: Place of the vocabulary files; a parameter of the BPE queries.
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -51,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mixing, op4_quality_rules, op9_bpe, op10_sharding]
+    own = [op1_mixing, op4_quality_rules, op7_jaccard_join, op8_line_dedup, op9_bpe, op10_sharding]
     return {f.__name__: f for f in own}
 
 
