@@ -72,12 +72,12 @@ class Shingler:
     def powers(self, n: int) -> np.ndarray:
         out = np.empty(n, np.uint64)
         out[0] = 1
-        filled, step = 1, np.uint64(self.base)
+        filled, step = 1, self.base
         while filled < n:
             m = min(filled, n - filled)
-            out[filled : filled + m] = out[:m] * step
+            out[filled : filled + m] = out[:m] * np.uint64(step)
             filled += m
-            step = step * step
+            step = step * step & 0xFFFFFFFFFFFFFFFF
         return out
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def hot_cells(docs: DataFrame, k: int) -> np.ndarray:
         if held:
             cells += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
         if cells.any():
-            yield pa.RecordBatch.from_pydict({"piece": list(range(PIECES)), "counts": [x.tobytes() for x in cells.astype("<i8").reshape(PIECES, -1)]})
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "counts": [x.tobytes() for x in cells.astype("<i8").reshape(PIECES, -1)]})
 
     def total(key, batches: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"piece": [key[0]], "counts": [np.sum([np.frombuffer(x, "<i8") for x in batches["counts"]], axis=0).tobytes()]})
