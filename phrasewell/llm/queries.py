@@ -26,6 +26,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"), F.col("quality.base_failed").alias("base_failed"), F.col("quality.kept").alias("kept"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import near_embeddings
+
+    return near_embeddings(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_duplicates
 
@@ -64,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mixing, op4_quality_rules, op7_jaccard_join, op8_line_dedup, op9_bpe, op10_sharding]
+    own = [op1_mixing, op4_quality_rules, op6_multi_index, op7_jaccard_join, op8_line_dedup, op9_bpe, op10_sharding]
     return {f.__name__: f for f in own}
 
 
