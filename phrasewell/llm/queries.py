@@ -18,6 +18,31 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    found = scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license")
+    places, matches = F.col("license.places"), F.col("license.matches")
+    joined = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
+    return found.select(
+        "doc_id", "license.n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places["start"]).alias("first_word"), F.array_max(places["start"]).alias("last_word"),
+        joined(places["label"]).alias("base_labels"), joined(F.concat(places["label"], matches["label"])).alias("labels"), F.col("license.score").alias("score"), F.size(matches).cast("long").alias("n_matches"),
+    )
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data
+
+    found = find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
 
@@ -70,7 +95,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mixing, op4_quality_rules, op6_multi_index, op7_jaccard_join, op8_line_dedup, op9_bpe, op10_sharding]
+    own = [op1_mixing, op2_licenses, op3_pii, op4_quality_rules, op6_multi_index, op7_jaccard_join, op8_line_dedup, op9_bpe, op10_sharding]
     return {f.__name__: f for f in own}
 
 
