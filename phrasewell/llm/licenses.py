@@ -94,9 +94,6 @@ class Automaton:
         if not self.mandatory:
             raise ValueError("a template needs mandatory wording")
         self.end = at
-        for s in range(len(self.worth)):  # what stands before a state in the template
-            for _, to in self.moves[s]:
-                self.worth[to] = max(self.worth[to], self.worth[s]) if self.worth[to] == 0 else self.worth[to]
         self.first = self.closure({0})
 
     def state(self, before: int) -> int:

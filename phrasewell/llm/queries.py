@@ -51,6 +51,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"), F.col("quality.base_failed").alias("base_failed"), F.col("quality.kept").alias("kept"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import fit, score
+
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = fit(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
+    out = score(docs, model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .multi_index import near_embeddings
 
@@ -95,7 +105,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mixing, op2_licenses, op3_pii, op4_quality_rules, op6_multi_index, op7_jaccard_join, op8_line_dedup, op9_bpe, op10_sharding]
+    own = [op1_mixing, op2_licenses, op3_pii, op4_quality_rules, op5_quality_model, op6_multi_index, op7_jaccard_join, op8_line_dedup, op9_bpe, op10_sharding]
     return {f.__name__: f for f in own}
 
 
