@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,23 +36,39 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Scratch tables by the owner that was named when they were written.
+_owner: ContextVar[str] = ContextVar("owner", default="")
+_made: dict[str, list[str]] = defaultdict(list)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with a copy that outlives any executor; tables stay until
-    the folder is cleaned (see :func:`drop_scratch`).
+    they are dropped (see :func:`owned_by` and :func:`drop_scratch`).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/phrasewell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _made[_owner.get()].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call when no result that reads them is still needed."""
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/phrasewell-{sc.applicationId}")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Scratch tables written inside belong to ``owner``."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def drop_scratch(spark: SparkSession, owner: str = "") -> None:
+    """Delete the scratch tables of ``owner``; call when no result that reads them is still needed."""
+    for path in _made.pop(owner, []):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

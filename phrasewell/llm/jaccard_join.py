@@ -18,9 +18,11 @@ Documents are sets of shingle hashes.  Two sets link when
 5. Components of the links, then membership for every document.
 
 Shingles are compared by 64-bit hash.  Null, empty or blank texts have no set
-and link with nothing.  Texts shorter than a shingle count as one shingle.  doc_id must
-be a non-null integer; rows with the same doc_id are one node.  An empty table gives an empty result.
-Other columns are ignored.
+and link with nothing.  Texts shorter than a shingle count as one shingle.
+doc_id is an integer.  Rows with the same doc_id are one document; if their
+texts differ, the set of smallest (size, hash) stands for it.  Rows with a
+null doc_id can't be named in a class and are left out.  An empty table gives
+an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -208,7 +210,7 @@ def blocked_links(docs: list[int], sets: list[np.ndarray], num: int, den: int, l
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every distinct doc_id: classes under Jaccard >= num / den of k-word shingles."""
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null")
     sc = docs.sparkSession.sparkContext
     hot = sc.broadcast(hot_cells(docs, k))  # CELLS / 8 bytes
 
@@ -229,16 +231,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))]))
 
     every = materialize(docs.mapInArrow(prefixes, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>"), "prefixes")
+    # One row a document, whatever its rows.
+    every = every.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "s1", "s2", "prefix")).alias("m")).select("doc_id", "m.*")
+    every = materialize(every, "documents")
     # Equal sets: the smallest doc_id stands for all.
     sets = materialize(every.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "sets")
     rep = every.join(sets.withColumnRenamed("n_shingles", "n"), (every["n_shingles"] == F.col("n")) & (every["s1"] == sets["s1"]) & (every["s2"] == sets["s2"]))
-    own = rep.select("doc_id", "rep", "n_shingles", "prefix")
-    member = materialize(own.where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", F.struct("n_shingles", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.reverse("prefix")).alias("p2")).alias("g"), "prefix"), "members")
+    own = rep.select("doc_id", "rep", "n_shingles", every["s1"].alias("s1"), "prefix")
+    member = materialize(own.where("doc_id = rep").select("doc_id", "s1", F.struct("n_shingles", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.reverse("prefix")).alias("p2")).alias("g"), "prefix"), "members")
 
     # Groups of identical prefix and size, named by their smallest member.
     group = member.groupBy("g").agg(F.min("doc_id").alias("group"), F.count(F.lit(1)).alias("members"))
     group = materialize(group, "groups")
-    heads = member.join(group.where("members >= 1").select("group", "members"), member["doc_id"] == F.col("group")).select("group", "members", F.explode("prefix").alias("shingle"))
+    heads = member.join(group.select("group", "members"), member["doc_id"] == F.col("group")).select("group", "members", F.explode("prefix").alias("shingle"))
     heads = materialize(heads, "shingles")
     # A spread-out but fixed priority keeps hubs few: the same group tends to lead all shingles of a cluster.
     lead = F.struct(F.xxhash64("group").alias("o"), F.col("group"))
@@ -248,18 +253,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
     joined = materialize(joined.unionByName(group.where("members > 1").select(F.col("group").alias("hub"), "group")).distinct(), "clusters")
 
     # Expand groups to members, count, and deal large clusters into pairs of blocks.
-    named = member.select("doc_id", "g").join(group.select(F.col("g").alias("gg"), "group"), F.col("g") == F.col("gg")).select("doc_id", "group")
-    seats = materialize(joined.join(named, "group").select("hub", "doc_id").distinct(), "seats")
+    named = member.select("doc_id", "s1", "g").join(group.select(F.col("g").alias("gg"), "group"), F.col("g") == F.col("gg")).select("doc_id", "s1", "group")
+    seats = materialize(joined.join(named, "group").select("hub", "doc_id", "s1").distinct(), "seats")
     blocks = materialize(seats.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
     dealt = seats.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
-    dealt = materialize(dealt.groupBy("doc_id").agg(F.flatten(F.collect_list(F.transform(pairs, lambda p: F.struct(F.col("hub"), F.col("own"), p["i"].alias("i"), p["j"].alias("j"))))).alias("seats")), "dealt")
-    texts = docs.join(dealt.withColumnRenamed("doc_id", "d"), docs["doc_id"] == F.col("d")).select("doc_id", "text", "seats")
+    dealt = materialize(dealt.groupBy("doc_id", "s1").agg(F.flatten(F.collect_list(F.transform(pairs, lambda p: F.struct(F.col("hub"), F.col("own"), p["i"].alias("i"), p["j"].alias("j"))))).alias("seats")), "dealt")
+    texts = docs.join(dealt.withColumnRenamed("doc_id", "d"), docs["doc_id"] == F.col("d")).select("doc_id", "text", "seats", "s1")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([s.astype("<u8").tobytes() for s in shingler(b.column(1).to_pylist())], pa.binary())], names=["doc_id", "seats", "set"])
+            made = list(shingler(b.column(1).to_pylist()))
+            # Of a document's different texts, only the one that stands for it.
+            mine = pa.array([int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) == d for s, d in zip(made, b.column(3).to_pylist(), strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([s.astype("<u8").tobytes() for s in made], pa.binary())], names=["doc_id", "seats", "set"])
+            yield out.filter(mine)
 
     seated = texts.mapInArrow(whole, "doc_id long, seats array<struct<hub:long,own:int,i:int,j:int>>, set binary").select("doc_id", "set", F.inline("seats"))
 

@@ -58,8 +58,13 @@ def text_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), 1 - 20 * F.coalesce(symbols / F.greatest(F.length(text), F.lit(1)), F.lit(0.0)))
 
 
+def row_hash(doc_id: Column, text: Column, seed: int = 0) -> Column:
+    """The hash that orders ties and names a row of :func:`mix`."""
+    return F.xxhash64(F.lit(seed + 1), doc_id, text)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, seed: int = 0) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, epochs, taken`` (copies is ``epochs + extra``).
+    """One row per document: ``doc_id, source, size, source_size, target, epochs, copies, taken, tie`` (``tie``: row hash).
 
     ``taken`` counts words over all repeats; a document comes at most
     ``ceil(most)`` times.  Reruns agree: keys depend on the rows alone.
@@ -71,7 +76,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         docs[source].alias("source"),
         count_words(docs[text]).alias("size"),
         (1 - F.pow(u, 1 / quality)).alias("key"),
-        F.xxhash64(F.lit(seed + 1), docs[doc_id], docs[text]).alias("tie"),
+        row_hash(docs[doc_id], docs[text], seed).alias("tie"),
     ).withColumn("bucket", F.least(F.floor(F.col("key") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     slim = materialize(slim, "mix")
     spark = docs.sparkSession
@@ -103,4 +108,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     # The document that crosses the budget is taken if that brings the source nearer to its target.
     inside = rows.where(F.col("bucket") == F.col("edge")).withColumn("extra", F.when(before + F.col("size") / 2 <= F.col("budget"), 1).otherwise(0))
     copies = F.col("epochs") + F.col("extra")
-    return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", "epochs", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", "epochs", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "tie")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, seed: int = 0) -> DataFrame:
+    """The mix itself: ``docs``, each row as often as :func:`mix` takes it.
+
+    Rows equal in doc_id and text are pooled: one of them comes as often as all together.
+    """
+    plan = mix(docs, weights, share, most, doc_id, text, source, quality, seed)
+    plan = materialize(plan.groupBy("doc_id", "tie").agg(F.sum("copies").alias("__copies")).where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__row"), "__copies"), "mix-copies")
+    named = docs.withColumn("__tie", row_hash(docs[doc_id], docs[text], seed)).dropDuplicates(["__tie", doc_id])
+    out = named.join(plan, (F.col("__tie") == F.col("__row")) & F.col(doc_id).eqNullSafe(F.col("__id")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
