@@ -54,7 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE ids (9) of each text: count, base64 of little-endian uint32 ids, and their hash."""
     out = encode(docs.select("doc_id", "lang", "source", "text"), vocabulary(), ids="ids", n_tokens="n_tokens")
-    return out.select("doc_id", "lang", "source", "n_tokens", F.base64("ids").alias("ids"), F.sha2("ids", 256).alias("ids_sha256"))
+    return out.select("doc_id", "lang", "source", "n_tokens", F.replace(F.base64("ids"), F.lit("\r\n"), F.lit("")).alias("ids"), F.sha2("ids", 256).alias("ids_sha256"))
 
 
 def _tidy(name: str, stage: Callable) -> Callable:
