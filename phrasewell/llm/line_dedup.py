@@ -91,7 +91,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     hits = materialize(repeated_lines(docs, min_words, doc_id, text), "line-gone")
     hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    both = docs.join(hits, docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
+    # A merge join at every size: texts move once, whatever the number of hits.
+    both = docs.join(hits.hint("merge"), docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
     lines = F.split(docs[text], "\n")
     stay = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: F.get(ls, i)), "\n")
     new = F.when(F.col("__gone").isNull(), docs[text]).otherwise(let(lines, stay))
