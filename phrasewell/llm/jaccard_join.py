@@ -7,12 +7,14 @@ Documents are sets of shingle hashes.  Two sets link when
    shingles whose cell is far above the mean come last in the global order, the rest
    are ordered by hash.  Any fixed order is exact; this one keeps common passages out of prefixes.
 2. Prefixes.  Linked sets share a shingle among the first
-   ``n - ceil(t * n) + 1`` of each.  Equal sets collapse to their smallest doc_id, and sets with
-   identical prefix and size collapse into one group.
+   ``n - ceil(t * n) + 1`` of each.  Sets with identical prefix and size collapse into one group
+   (equal sets first of all, which collapse to their smallest doc_id).
 3. Group pairs.  Each prefix shingle of two groups or more picks one of its
    groups as hub, and a group joins the cluster of each of its hubs: every pair
-   that shares a prefix shingle meets in a cluster, without a pair row.
-4. Expand and verify.  Members are expanded and their whole sets compared in blocks of
+   that shares a prefix shingle meets in a cluster, without a pair row.  Within blocks of a
+   cluster, pairs of groups are filtered by size and by how much of their prefixes they share:
+   beyond the shorter reach nothing but the rest of the set can be common.
+4. Expand and verify.  Members of the groups that are left are expanded and their whole sets compared in blocks of
    ``BLOCK``; large clusters are cut into pairs of blocks, so no task holds one.
    A block returns a spanning forest of its links: linear rows, no link between components lost.
 5. Components of the links, then membership for every document.
@@ -57,6 +59,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a set of hashes, as two signed longs."""
+    a, b = mixed(s + np.uint64(1)).sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64)
+    return int(a.view(np.int64)), int(b.view(np.int64))
+
+
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts: A-Z lower-cased, words of characters other than ASCII white space."""
 
@@ -161,33 +169,56 @@ def hot_cells(docs: DataFrame, k: int) -> np.ndarray:
     return np.packbits(cells > 2 * mean + 6 * np.sqrt(mean) + 8)
 
 
-def blocked_links(docs: list[int], sets: list[np.ndarray], num: int, den: int, left: int | None = None) -> list[tuple[int, int]]:
-    """Spanning forest of the links among the sets; with ``left``, only of those between the first ``left`` and the others."""
+def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
+    """Sizes of the intersections of all sets; with ``left``, of the first ``left`` with the others."""
     n = len(sets)
     size = np.array([s.size for s in sets], np.int64)
     flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
-    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    new = np.ones(flat.size, bool)
+    new[1:] = flat[1:] != flat[:-1]
     col = np.cumsum(new) - 1
-    count = np.bincount(col) if flat.size else np.zeros(0, np.int64)
-    shared = count[col] > 1
+    shared = np.bincount(col)[col] > 1 if flat.size else new
     row, col = row[shared], col[shared]
     _, col = np.unique(col, return_inverse=True)
     split = n if left is None else left
     inter = np.zeros((split, n if left is None else n - left), np.float32)
     cuts = np.searchsorted(col, np.arange(0, (col[-1] + 1 if col.size else 0) + COLUMNS, COLUMNS))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if a == b:
-            continue
-        m = np.zeros((n, COLUMNS), np.float32)
-        m[row[a:b], col[a:b] % COLUMNS] = 1
-        inter += m @ m.T if left is None else m[:left] @ m[left:].T
-    inter = inter.astype(np.int64)
-    other = size if left is None else size[left:]
-    union = size[:split, None] + other[None, :] - inter
-    link = (den * inter >= num * union) & (inter > 0)
+        if a < b:
+            m = np.zeros((n, min(COLUMNS, int(col[b - 1]) % COLUMNS + 1)), np.float32)
+            m[row[a:b], col[a:b] % COLUMNS] = 1
+            inter += m @ m.T if left is None else m[:left] @ m[left:].T
+    return inter.astype(np.int64)
+
+
+def possible(sizes: np.ndarray, prefixes: list[np.ndarray], num: int, den: int, left: int | None = None) -> np.ndarray:
+    """Which sets may link with another one of the block, by size and shared prefix.
+
+    The prefix that ends first in the global order holds all common shingles up to its end, so the
+    intersection is at most the prefixes' overlap and that set's rest.
+    """
+    n = len(prefixes)
+    rest = sizes - np.array([p.size for p in prefixes], np.int64)
+    split, off = (n, 0) if left is None else (left, left)
+    most = overlaps(prefixes, left) + np.maximum(rest[:split, None], rest[None, off:])
+    a, b = sizes[:split, None], sizes[None, off:]
+    ok = (most * (num + den) >= num * (a + b)) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
+    if left is None:
+        np.fill_diagonal(ok, False)
+        return ok.any(axis=1)
+    return np.concatenate((ok.any(axis=1), ok.any(axis=0)))
+
+
+def blocked_links(docs: list[int], sets: list[np.ndarray], num: int, den: int, left: int | None = None) -> list[tuple[int, int]]:
+    """Spanning forest of the links among the sets; with ``left``, only of those between the first ``left`` and the others."""
+    n = len(sets)
+    size = np.array([s.size for s in sets], np.int64)
+    inter = overlaps(sets, left)
+    split, off = (n, 0) if left is None else (left, left)
+    link = (den * inter >= num * (size[:split, None] + size[None, off:] - inter)) & (inter > 0)
     if left is None:
         link = np.triu(link, 1)
     parent = list(range(n))
@@ -199,7 +230,6 @@ def blocked_links(docs: list[int], sets: list[np.ndarray], num: int, den: int, l
         return x
 
     out = []
-    off = 0 if left is None else left
     for i, j in zip(*np.nonzero(link), strict=True):
         a, b = root(int(i)), root(int(j) + off)
         if a != b:
@@ -208,6 +238,14 @@ def blocked_links(docs: list[int], sets: list[np.ndarray], num: int, den: int, l
     return out
 
 
+def dealt(seats: DataFrame, who: str) -> DataFrame:
+    """``hub, who, own, i, j``: seats of each cluster dealt into pairs of blocks of about ``BLOCK``."""
+    blocks = materialize(seats.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    out = seats.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64(who), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
+    return out.select("hub", who, "own", F.inline(pairs))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every distinct doc_id: classes under Jaccard >= num / den of k-word shingles."""
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null")
@@ -216,73 +254,79 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, late = Shingler(k), np.unpackbits(hot.value).astype(bool)
+        kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
         for b in batches:
-            rows = {"doc_id": [], "n_shingles": [], "s1": [], "s2": [], "prefix": []}
+            rows: dict[str, list] = {c: [] for c in kind.names}
             for i, s in zip(b.column(0).to_pylist(), shingler(b.column(1).to_pylist()), strict=True):
                 n = s.size
                 is_late = late[(s >> np.uint64(44)).astype(np.int64)]
-                p = n - -(-num * n // den) + 1
+                p = n - -(-num * n // den) + 1 if n else 0
                 first = s[~is_late][:p]
                 if first.size < p:
                     first = np.concatenate((first, s[is_late][: p - first.size]))
-                digest = mixed(s + np.uint64(1)).sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64)
-                for c, v in zip(rows, (i, n, int(digest[0].view(np.int64)), int(digest[1].view(np.int64)), first.view(np.int64) if n else []), strict=True):
+                for c, v in zip(rows, (i, n, *digest(s), *digest(first), first.view(np.int64)), strict=True):
                     rows[c].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))]))
-
-    every = materialize(docs.mapInArrow(prefixes, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>"), "prefixes")
-    # One row a document, whatever its rows.
-    every = every.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "s1", "s2", "prefix")).alias("m")).select("doc_id", "m.*")
-    every = materialize(every, "documents")
-    # Equal sets: the smallest doc_id stands for all.
-    sets = materialize(every.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "sets")
-    rep = every.join(sets.withColumnRenamed("n_shingles", "n"), (every["n_shingles"] == F.col("n")) & (every["s1"] == sets["s1"]) & (every["s2"] == sets["s2"]))
-    own = rep.select("doc_id", "rep", "n_shingles", every["s1"].alias("s1"), "prefix")
-    member = materialize(own.where("doc_id = rep").select("doc_id", "s1", F.struct("n_shingles", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.reverse("prefix")).alias("p2")).alias("g"), "prefix"), "members")
-
-    # Groups of identical prefix and size, named by their smallest member.
-    group = member.groupBy("g").agg(F.min("doc_id").alias("group"), F.count(F.lit(1)).alias("members"))
+            yield pa.RecordBatch.from_pydict(rows, schema=kind)
+
+    every = materialize(docs.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"), "prefixes")
+    # One row a document, whatever its rows; equal sets: the smallest doc_id stands for all.
+    slim = materialize(every.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "p1", "p2")).alias("m")).select("doc_id", "m.*"), "documents")
+    sets = materialize(slim.where("n > 0").groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("rep")), "sets")
+
+    # Groups of identical prefix and size, labelled by a one-to-one hash of a doc_id: a spread-out but fixed
+    # priority keeps hubs few, as the same group tends to lead all shingles of a cluster.
+    group = every.where("n > 0").groupBy("n", "p1", "p2").agg(F.xxhash64(F.min("doc_id")).alias("group"), F.first("prefix").alias("prefix"))
     group = materialize(group, "groups")
-    heads = member.join(group.select("group", "members"), member["doc_id"] == F.col("group")).select("group", "members", F.explode("prefix").alias("shingle"))
-    heads = materialize(heads, "shingles")
-    # A spread-out but fixed priority keeps hubs few: the same group tends to lead all shingles of a cluster.
-    lead = F.struct(F.xxhash64("group").alias("o"), F.col("group"))
-    hubs = heads.groupBy("shingle").agg(F.min(lead).alias("lead"), F.max(lead).alias("last")).where("lead <> last")
-    hubs = materialize(hubs.select("shingle", F.col("lead.group").alias("hub")), "hubs")
-    joined = heads.join(hubs, "shingle").select("hub", "group").distinct()
-    joined = materialize(joined.unionByName(group.where("members > 1").select(F.col("group").alias("hub"), "group")).distinct(), "clusters")
-
-    # Expand groups to members, count, and deal large clusters into pairs of blocks.
-    named = member.select("doc_id", "s1", "g").join(group.select(F.col("g").alias("gg"), "group"), F.col("g") == F.col("gg")).select("doc_id", "s1", "group")
-    seats = materialize(joined.join(named, "group").select("hub", "doc_id", "s1").distinct(), "seats")
-    blocks = materialize(seats.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    dealt = seats.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
-    dealt = materialize(dealt.groupBy("doc_id", "s1").agg(F.flatten(F.collect_list(F.transform(pairs, lambda p: F.struct(F.col("hub"), F.col("own"), p["i"].alias("i"), p["j"].alias("j"))))).alias("seats")), "dealt")
-    texts = docs.join(dealt.withColumnRenamed("doc_id", "d"), docs["doc_id"] == F.col("d")).select("doc_id", "text", "seats", "s1")
+    heads = group.select("group", F.explode("prefix").alias("shingle"))
+    hubs = heads.groupBy("shingle").agg(F.min("group").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    hubs = materialize(hubs.select("shingle", "hub"), "hubs")
+    clusters = materialize(heads.join(hubs.hint("merge"), "shingle").select("hub", "group").distinct(), "clusters")
+
+    # Filter pairs of groups by what sizes and prefixes allow.
+    facts = group.select("group", "n", "prefix")
+    seated = dealt(clusters, "group").join(facts.hint("merge"), "group")
+
+    def sift(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
+        pdf = pdf.sort_values(["own", "group"])
+        ok = possible(pdf["n"].to_numpy(), [np.asarray(x, np.int64).view(np.uint64) for x in pdf["prefix"]], num, den, None if i == j else int((pdf["own"] == i).sum()))
+        return pdf.loc[ok, ["hub", "group"]]
+
+    left = seated.groupBy("hub", "i", "j").applyInPandas(sift, "hub long, group long").distinct()
+    left = materialize(left, "sifted")
+    # Members of one group are a pair as well.
+    named = sets.join(group.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).select("group", F.col("rep").alias("doc_id"), "s1")
+    named = materialize(named, "named")
+    own = named.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("group").alias("hub"), "group")
+    members = left.unionByName(own).distinct().join(named, "group").select("hub", "doc_id", "s1").distinct()
+    members = materialize(members, "seats")
+
+    seats = dealt(members, "doc_id").withColumnRenamed("doc_id", "d").groupBy("d").agg(F.collect_list(F.struct("hub", "own", "i", "j")).alias("seats"))
+    seats = materialize(seats.join(sets.select(F.col("rep"), F.col("s1")), F.col("d") == F.col("rep")).select("d", "s1", "seats"), "dealt")
+    # Only documents with a seat go on; a merge join at every size.
+    texts = docs.join(seats.hint("merge"), docs["doc_id"] == F.col("d")).select("doc_id", "text", "seats", "s1")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
             made = list(shingler(b.column(1).to_pylist()))
             # Of a document's different texts, only the one that stands for it.
-            mine = pa.array([int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) == d for s, d in zip(made, b.column(3).to_pylist(), strict=True)], pa.bool_())
+            mine = pa.array([digest(s)[0] == d for s, d in zip(made, b.column(3).to_pylist(), strict=True)], pa.bool_())
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([s.astype("<u8").tobytes() for s in made], pa.binary())], names=["doc_id", "seats", "set"])
             yield out.filter(mine)
 
-    seated = texts.mapInArrow(whole, "doc_id long, seats array<struct<hub:long,own:int,i:int,j:int>>, set binary").select("doc_id", "set", F.inline("seats"))
+    verified = texts.mapInArrow(whole, "doc_id long, seats array<struct<hub:long,own:int,i:int,j:int>>, set binary").select("doc_id", "set", F.inline("seats"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id")
+        pdf = pdf.drop_duplicates("doc_id").sort_values(["own", "doc_id"])
         i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
-        pdf = pdf.sort_values(["own", "doc_id"])
         made = [np.frombuffer(x, "<u8") for x in pdf["set"]]
         found = blocked_links(pdf["doc_id"].tolist(), made, num, den, None if i == j else int((pdf["own"] == i).sum()))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    links = seated.groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long")
-    linked = materialize(components(materialize(links, "found")), "components")
-    # component of a set's representative is the smallest representative, hence the smallest doc_id.
-    ids = own.select("doc_id", "rep", "n_shingles").join(linked, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    none = every.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return ids.unionByName(none)
+    links = materialize(verified.groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long"), "found")
+    linked = materialize(components(links), "components")
+    # The component of a set is its smallest representative, hence the smallest doc_id.
+    ids = slim.where("n > 0").join(sets.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
+    ids = ids.join(linked, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return ids.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
