@@ -80,7 +80,8 @@ def pieces(line: Column) -> Column:
 
 def left_word(prefix: Column) -> Column:
     """Last white-space separated word of the text before a token: 30 characters at most, lower case; "" if there is none."""
-    return F.lower(F.left(F.regexp_extract(prefix, r"(?U)(\S+)\s*$", 1), F.lit(30)))
+    ended = F.regexp_replace(prefix, r"(?U)\s+\z", "")
+    return F.lower(F.left(F.regexp_replace(ended, r"(?sU)^.*\s", ""), F.lit(30)))
 
 
 def extension(path: Column) -> Column:

@@ -22,26 +22,24 @@ def contexts(corpus: DataFrame, chunks: int) -> DataFrame:
     n = F.lit(files.count())
     size = F.greatest(F.lit(1), F.floor(n / chunks))
     lines = files.select("file_id", F.floor((F.col("file_id") - 1) / size).alias("chunk"), F.posexplode(X.lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
-    tokens = lines.select("chunk", "file_id", "line_no", "line", F.posexplode(X.identifiers(F.col("line"))).alias("nth", "phrase"))
-    order = ("file_id", "line_no", "nth")
+    # A left word is the word before, or what stands before the identifier in its own word: lines need not travel.
+    words = F.split(X.trimmed(F.col("line")), r"(?U)\s+")
+    pairs = F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.struct(i.alias("at"), w.alias("own"), F.when(i > 0, F.get(ws, i - 1)).otherwise("").alias("before"))))[0]
+    tokens = lines.select("chunk", "file_id", "line_no", F.inline(pairs)).select("chunk", "file_id", "line_no", "at", "own", "before", F.posexplode(X.identifiers(F.col("own"))).alias("nth", "phrase"))
+    order = ("file_id", "line_no", "at", "nth")
     # A limit per group: each task keeps five rows of a phrase before the shuffle.
     early = tokens.withColumn("k", F.row_number().over(Window.partitionBy("chunk", "phrase").orderBy(*order))).where(F.col("k") <= FIRST)
-    early = early.withColumn("word", X.left_word(prefix(F.col("line"), F.col("nth")))).where(F.col("word") != "").withColumn("phrase_lc", F.lower("phrase"))
+    inside = prefix(F.col("own"), F.col("nth"))
+    early = early.withColumn("word", X.left_word(F.when(inside == "", F.col("before")).otherwise(inside))).where(F.col("word") != "").withColumn("phrase_lc", F.lower("phrase"))
     first = early.withColumn("j", F.row_number().over(Window.partitionBy("chunk", "phrase_lc").orderBy(*order))).where(F.col("j") == 1)
     return first.select("chunk", "phrase_lc", "word")
 
 
 def prefix(line: Column, nth: Column) -> Column:
-    """What stands before the nth identifier (from 0) of a line, by cutting it into pieces."""
-    mark = F.transform(X.pieces(line), lambda p: F.struct(p.alias("p"), p.rlike(f"^{X.IDENTIFIER}$").alias("is")))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
-
-    def step(a: Column, x: Column) -> Column:
-        over = a["seen"] > nth
-        seen = F.when(x["is"], a["seen"] + 1).otherwise(a["seen"])
-        return F.when(over | (seen > nth), F.struct(a["out"].alias("out"), (nth + 1).alias("seen"))).otherwise(F.struct(F.concat(a["out"], x["p"]).alias("out"), seen.alias("seen")))
-
-    return F.aggregate(mark, start, step, lambda a: a["out"])
+    """What stands before the nth identifier (from 0) of a text: the text is its gaps and identifiers in turn."""
+    gaps, names = F.split(line, X.IDENTIFIER, -1), X.identifiers(line)
+    length = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+    return F.substr(line, F.lit(1), length(gaps, nth + 1) + length(names, nth))
 
 
 def entropy(samples: DataFrame) -> DataFrame:
