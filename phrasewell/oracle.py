@@ -8,7 +8,7 @@ from .queries import CHUNKS, NAME, QUERY
 
 ID = "[A-Za-z_][A-Za-z0-9_]{2,}"
 
-DOCS = "SELECT ['src','tests','vendor','scripts','docs'][1 + doc_id % 5] || '/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS file_path, text FROM documents"
+DOCS = "SELECT ['src','tests','vendor','scripts','docs'][1 + doc_id % 5] || '/' || source || '/' || lang || '/doc_' || doc_id || ['.ts','.ts','.js','.py','.txt'][1 + doc_id % 5] AS file_path, text FROM documents"
 PAGES = "SELECT 'pages/' || page_id || '.html' AS file_path, html AS text FROM pages"
 
 CORPUS = f"corpus AS MATERIALIZED ({DOCS} UNION ALL {PAGES})"
@@ -66,6 +66,7 @@ FULL = f"{TOKEN}, {RAW}, {LCEP}, {INDEX}"
 PLAIN = FULL.replace("<= 5000", "< 0")
 
 TARGET = "target AS (SELECT file_path AS t FROM occ WHERE is_def >= 1 AND df BETWEEN 2 AND 3 GROUP BY file_path ORDER BY count(*) DESC, file_path LIMIT 1)"
+PAGE = "target AS (SELECT min(file_path) AS t FROM files WHERE file_path LIKE 'pages/%')"
 MODULE = "regexp_extract({0}, '^(.*)/[^/]*$', 1)"
 
 
@@ -164,8 +165,10 @@ def plan_sql() -> str:
 
 
 NOT_FIXTURES = r"(\.(md|json|yml|yaml|toml|txt|html|css)$)|^artifacts/|^node_modules/|web/templates|BACKLOG|CRITICAL"
-HOME_SQL = f"""fix AS (SELECT phrase, min(file_path) AS file_path FROM occ, target, (SELECT min(file_path) AS test FROM files WHERE file_path LIKE 'tests/%')
-  WHERE is_def >= 1 AND file_path NOT IN (t, test) AND phrase IN (SELECT phrase FROM occ WHERE file_path = (SELECT min(file_path) FROM files WHERE file_path LIKE 'tests/%') AND regexp_matches(phrase, '^[A-Z]') AND length(phrase) > 3)
+HOME_SQL = """named AS (SELECT phrase FROM occ WHERE regexp_matches(phrase, '^[A-Z]') AND length(phrase) > 3 AND is_def >= 1 GROUP BY phrase),
+tested AS (SELECT file_path AS test FROM occ WHERE file_path LIKE 'tests/%' AND phrase IN (SELECT phrase FROM named) GROUP BY file_path ORDER BY count(*) DESC, file_path LIMIT 1),
+fix AS (SELECT phrase, min(file_path) AS file_path FROM occ, target, tested
+  WHERE is_def >= 1 AND file_path NOT IN (t, test) AND phrase IN (SELECT phrase FROM occ WHERE file_path = (SELECT test FROM tested) AND regexp_matches(phrase, '^[A-Z]') AND length(phrase) > 3)
   GROUP BY phrase ORDER BY phrase LIMIT 20)"""
 
 
@@ -205,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT file_path, round(coalesce(avg(CASE WHEN abs(a.x - b.x) <= 10 THEN (11 - abs(a.x - b.x)) / 10.0 ELSE 0 END) * 0.5, 0), 6) AS bonus FROM sets LEFT JOIN each a USING (file_path) LEFT JOIN each b ON a.file_path = b.file_path AND a.i < b.i WHERE b.i IS NOT NULL OR len(ls) < 2 GROUP BY file_path""",
         "who_calls": f"{FULL}, {CALLS} SELECT file_path, score FROM calls",
         "latent_deps": f"{FULL}, {TARGET}, {LATENT} SELECT file_path, score FROM latent, target WHERE origin = t",
-        "blast_radius": f"""{FULL}, {TARGET}, mine AS (SELECT phrase, {WEIGHT} AS w FROM (SELECT occ.* FROM occ, target WHERE file_path = t ORDER BY phrase LIMIT 50) WHERE is_def > 0)
+        "blast_radius": f"""{FULL}, {PAGE}, mine AS (SELECT phrase, {WEIGHT} AS w FROM (SELECT occ.* FROM occ, target WHERE file_path = t ORDER BY phrase LIMIT 50) WHERE is_def > 0)
             SELECT file_path, sum(w)::DOUBLE AS score FROM (SELECT o.file_path, w FROM occ o JOIN mine USING (phrase), target WHERE file_path <> t QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY file_path) <= 10) GROUP BY file_path ORDER BY score DESC, file_path LIMIT 20""",
         "verify_candidates": f"""{FULL}, {TARGET} SELECT file_path, count(*)::DOUBLE AS score FROM (SELECT o.* FROM occ o, target WHERE o.file_path <> t AND (o.file_path ILIKE '%test%' OR o.file_path ILIKE '%spec%')
             AND phrase IN (SELECT phrase FROM occ, target WHERE file_path = t) ORDER BY phrase, o.file_path LIMIT 500) WHERE is_def > 0 GROUP BY file_path ORDER BY score DESC, file_path LIMIT 10""",

@@ -17,7 +17,7 @@ from .sources.corpus import documents_corpus, pages_corpus, table_corpus
 from .streaming import refresh
 
 CHUNKS = 8
-QUERY = "token Licensed mails_example"
+QUERY = "token Licensed mails_example ther"
 NAME = "token"
 
 _built: dict[tuple[str, str], I.Index] = {}
@@ -207,7 +207,8 @@ def latent_deps(spark, sf_dir):
 
 def blast_radius(spark, sf_dir):
     i = index_of(spark, sf_dir)
-    return risk.blast_radius(i, target(i))
+    page = i.files.where(F.col("file_path").startswith("pages/")).agg(F.min("file_path")).first()[0]
+    return risk.blast_radius(i, page or "")
 
 
 def verify_candidates(spark, sf_dir):
@@ -217,8 +218,11 @@ def verify_candidates(spark, sf_dir):
 
 def fixtures(spark, sf_dir):
     i = index_of(spark, sf_dir)
-    test = i.files.where(F.col("file_path").startswith("tests/")).agg(F.min("file_path")).first()[0]
-    return risk.find_fixtures(i, target(i), test)
+    # The test that mentions most capitalised phrases that are defined somewhere; ties by path.
+    names = i.occ.where(F.col("phrase").rlike("^[A-Z]") & (F.length("phrase") > 3) & (F.col("is_def") >= 1)).select("phrase").distinct()
+    tests = i.occ.where(F.col("file_path").startswith("tests/")).join(names, "phrase", "left_semi")
+    test = tests.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "file_path").first()
+    return risk.find_fixtures(i, target(i), test["file_path"] if test else "")
 
 
 def plan_scores(spark, sf_dir):

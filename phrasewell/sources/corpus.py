@@ -43,7 +43,8 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as files of several roles and modules."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     role = F.element_at(F.array(*map(F.lit, ("src", "tests", "vendor", "scripts", "docs"))), (1 + F.col("doc_id") % 5).cast("int"))
-    path = F.concat(role, F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    ending = F.element_at(F.array(*map(F.lit, (".ts", ".ts", ".js", ".py", ".txt"))), (1 + F.col("doc_id") % 5).cast("int"))
+    path = F.concat(role, F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), ending)
     return d.select(path.alias("file_path"), "text")
 
 
