@@ -58,10 +58,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _tidy(name: str, stage: Callable) -> Callable:
-    """The stage, with its scratch tables marked, and those of the stages before it deleted first."""
+    """The stage, with its scratch tables marked; those of earlier stages go first, unless ``docs`` still reads them."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_scratch(spark, "pipeline")
+        if not any("/phrasewell-" in f for f in docs.inputFiles()):
+            drop_scratch(spark, "pipeline")
         with owned_by("pipeline"):
             return stage(spark, docs, sf_dir)
 

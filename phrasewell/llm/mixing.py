@@ -54,7 +54,7 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float], share: float
 
 def text_weight(text: Column) -> Column:
     """Quality weight in (0, 1]: falls with the share of symbol characters among all."""
-    symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]{1,}"))
+    symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
     return F.greatest(F.lit(0.05), 1 - 20 * F.coalesce(symbols / F.greatest(F.length(text), F.lit(1)), F.lit(0.0)))
 
 
