@@ -27,7 +27,6 @@ def components(links: DataFrame) -> DataFrame:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "stars")
         large = pairs.join(low, pairs["a"] == low["u"]).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        large = materialize(large, "large")
         # Small star: a node and its smaller neighbours are tied to the smallest of them.
         low = materialize(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "stars")
         small = large.join(low, large["b"] == low["u"]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()

@@ -29,7 +29,7 @@ an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -166,12 +166,17 @@ def hot_cells(docs: DataFrame, k: int) -> np.ndarray:
         cells[r["piece"]] = np.frombuffer(r["counts"], "<i8")
     cells = cells.ravel()
     mean = cells.mean()
-    return np.packbits(cells > 2 * mean + 6 * np.sqrt(mean) + 8)
+    return np.packbits(cells > mean + 6 * np.sqrt(mean) + 8)
 
 
 def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
     """Sizes of the intersections of all sets; with ``left``, of the first ``left`` with the others."""
     n = len(sets)
+    if n == 2 and left in (None, 1):
+        both = np.concatenate(sets)
+        both.sort()
+        inter = int(np.count_nonzero(both[1:] == both[:-1]))
+        return np.array([[inter]]) if left else np.array([[sets[0].size, inter], [inter, sets[1].size]])
     size = np.array([s.size for s in sets], np.int64)
     flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(n), size)
@@ -194,16 +199,18 @@ def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
     return inter.astype(np.int64)
 
 
-def possible(sizes: np.ndarray, prefixes: list[np.ndarray], num: int, den: int, left: int | None = None) -> np.ndarray:
+def possible(sizes: np.ndarray, prefixes: list[np.ndarray], ends: np.ndarray, num: int, den: int, left: int | None = None) -> np.ndarray:
     """Which sets may link with another one of the block, by size and shared prefix.
 
-    The prefix that ends first in the global order holds all common shingles up to its end, so the
-    intersection is at most the prefixes' overlap and that set's rest.
+    ``ends``: places of the prefixes' last shingles in the global order.  The prefix that ends
+    first holds all common shingles up to its end, so the intersection is at most the
+    prefixes' overlap and that set's rest.
     """
     n = len(prefixes)
     rest = sizes - np.array([p.size for p in prefixes], np.int64)
     split, off = (n, 0) if left is None else (left, left)
-    most = overlaps(prefixes, left) + np.maximum(rest[:split, None], rest[None, off:])
+    shorter = ends[:split, None] <= ends[None, off:]
+    most = overlaps(prefixes, left) + np.where(shorter, rest[:split, None], rest[None, off:])
     a, b = sizes[:split, None], sizes[None, off:]
     ok = (most * (num + den) >= num * (a + b)) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
     if left is None:
@@ -238,6 +245,49 @@ def blocked_links(docs: list[int], sets: list[np.ndarray], num: int, den: int, l
     return out
 
 
+def in_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+    """``kernel`` over each group of ``keys`` (rows in ``order``), many groups a batch.
+
+    Groups are of bounded size here, and most are tiny, so they are cut from sorted batches without a frame for each.
+    """
+    types = pa.schema([(f.split()[0], pa.int64()) for f in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done(out: list[dict]) -> None:
+            whole = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if (found := kernel(whole)) is not None:
+                out.append(found)
+            held.clear()
+
+        def packed(out: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(o[c], np.int64) for o in out]), pa.int64()) for c in types.names], schema=types)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out: list[dict] = []
+            k = np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in keys])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(k[:, s].tolist())
+                if held and key != last:
+                    done(out)
+                held.append(b.slice(s, e - s))
+                last = key
+            if out:
+                yield packed(out)
+        out = []
+        if held:
+            done(out)
+        if out:
+            yield packed(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def dealt(seats: DataFrame, who: str) -> DataFrame:
     """``hub, who, own, i, j``: seats of each cluster dealt into pairs of blocks of about ``BLOCK``."""
     blocks = materialize(seats.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
@@ -286,13 +336,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
     facts = group.select("group", "n", "prefix")
     seated = dealt(clusters, "group").join(facts.hint("merge"), "group")
 
-    def sift(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
-        pdf = pdf.sort_values(["own", "group"])
-        ok = possible(pdf["n"].to_numpy(), [np.asarray(x, np.int64).view(np.uint64) for x in pdf["prefix"]], num, den, None if i == j else int((pdf["own"] == i).sum()))
-        return pdf.loc[ok, ["hub", "group"]]
-
-    left = seated.groupBy("hub", "i", "j").applyInPandas(sift, "hub long, group long").distinct()
+    def sift(b: pa.RecordBatch) -> dict | None:
+        field = lambda c: b.column(b.schema.get_field_index(c))
+        if b.num_rows < 2:
+            return None
+        i, j = field("i")[0].as_py(), field("j")[0].as_py()
+        lists = field("prefix")
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        made = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        final = np.array([m[-1] for m in made])
+        # Late shingles follow all others in the global order: half the range each keeps order and fits.
+        ends = (final >> np.uint64(1)) + (late_bits()[(final >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
+        n_left = None if i == j else int(np.count_nonzero(field("own").to_numpy() == i))
+        if n_left is not None and not 0 < n_left < b.num_rows:
+            return None
+        ok = possible(field("n").to_numpy(), made, ends, num, den, n_left)
+        return {"hub": field("hub").to_numpy()[ok], "group": field("group").to_numpy()[ok]} if ok.any() else None
+
+    def late_bits() -> np.ndarray:
+        if not cached:
+            cached.append(np.unpackbits(hot.value).astype(bool))
+        return cached[0]
+
+    cached: list[np.ndarray] = []
+    left = in_groups(seated.select("hub", "i", "j", "own", "group", "n", "prefix"), ["hub", "i", "j"], ["own", "group"], sift, "hub long, group long").distinct()
     left = materialize(left, "sifted")
     # Members of one group are a pair as well.
     named = sets.join(group.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).select("group", F.col("rep").alias("doc_id"), "s1")
@@ -317,14 +384,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
 
     verified = texts.mapInArrow(whole, "doc_id long, seats array<struct<hub:long,own:int,i:int,j:int>>, set binary").select("doc_id", "set", F.inline("seats"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values(["own", "doc_id"])
-        i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
-        made = [np.frombuffer(x, "<u8") for x in pdf["set"]]
-        found = blocked_links(pdf["doc_id"].tolist(), made, num, den, None if i == j else int((pdf["own"] == i).sum()))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    links = materialize(verified.groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long"), "found")
+    def compare(b: pa.RecordBatch) -> dict | None:
+        field = lambda c: b.column(b.schema.get_field_index(c))
+        docs_, own = field("doc_id").to_numpy(), field("own").to_numpy()
+        once = np.append(True, (docs_[1:] != docs_[:-1]) | (own[1:] != own[:-1]))  # repeated rows of a document
+        docs_, own = docs_[once], own[once]
+        made = [np.frombuffer(x, "<u8") for x, o in zip(field("set").to_pylist(), once.tolist(), strict=True) if o]
+        i, j = field("i")[0].as_py(), field("j")[0].as_py()
+        n_left = None if i == j else int(np.count_nonzero(own == i))
+        if len(made) < 2 or (n_left is not None and not 0 < n_left < len(made)):
+            return None
+        found = blocked_links(docs_.tolist(), made, num, den, n_left)
+        return {"a": [f[0] for f in found], "b": [f[1] for f in found]} if found else None
+
+    links = materialize(in_groups(verified.select("hub", "i", "j", "own", "doc_id", "set"), ["hub", "i", "j"], ["own", "doc_id"], compare, "a long, b long"), "found")
     linked = materialize(components(links), "components")
     # The component of a set is its smallest representative, hence the smallest doc_id.
     ids = slim.where("n > 0").join(sets.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
