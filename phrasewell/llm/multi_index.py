@@ -6,7 +6,8 @@ nearest codewords is a vector's cell in the product grid.  Every vector is
 filed under its cell, and visits the nearest cells in multi-sequence order (by the sum
 of squared distances to both codewords).  The number of cells to visit is
 set by measuring, for up to ``PROBES`` sampled vectors against all vectors, at which
-visit each true neighbour would be found, until ``recall`` is met.
+visit each true neighbour would be found, until the recall of all links and the mean recall of
+the probes both meet ``recall`` (a group of thousands of copies can't outvote the rest).
 
 Pairs that meet in a cell are verified by cosine in double precision, so no
 link is below the threshold.  Cells are compared in blocks of at most ``BLOCK``
@@ -21,7 +22,6 @@ equal id count as one vector.  An empty table gives an empty result; other colum
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +34,11 @@ from .common import materialize
 from .components import components
 
 SAMPLE = 16_384
-PROBES = 512
+PROBES = 2048
 BLOCK = 1024
 CODEWORDS = 32
 MAX_VISITS = 64
+LEAST_VISITS = 4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -99,7 +100,7 @@ class Forest:
         return a != b
 
 
-def near_embeddings(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.995, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", codewords: int = CODEWORDS) -> DataFrame:
+def near_embeddings(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", codewords: int = CODEWORDS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every distinct vec_id."""
     spark = vectors.sparkSession
     rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[embedding].cast("array<double>").alias("x"), vectors[label].alias("label"))
@@ -189,23 +190,27 @@ def calibrate(good: DataFrame, probes: list[tuple], x: np.ndarray, books: tuple[
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named, q, path, book = sent.value
         label, own = np.array([str(p[0]) for p in named]), np.array([p[1] for p in named])
-        seen = np.zeros(MAX_VISITS + 1, np.int64)
+        seen = np.zeros((len(named), MAX_VISITS + 1), np.int64)
         for b in batches:
-            for part in (b.slice(k, 4096) for k in range(0, b.num_rows, 4096)):
+            for part in (b.slice(k, 2048) for k in range(0, b.num_rows, 2048)):
                 v = unit(np.asarray(part.column(1).flatten()).reshape(-1, dim))
                 hit = (q @ v.T >= threshold) & (label[:, None] == np.array([str(t) for t in part.column(2).to_pylist()])[None, :]) & (own[:, None] != np.asarray(part.column(0))[None, :])
                 p, r = np.nonzero(hit)
                 if p.size:
-                    home = visits(v[r], book, 1)
-                    match = path[p] == home
-                    np.add.at(seen, np.where(match.any(axis=1), match.argmax(axis=1), MAX_VISITS), 1)
-        yield pa.RecordBatch.from_pydict({"visit": pa.array(range(MAX_VISITS + 1), pa.int32()), "n": pa.array(seen, pa.int64())})
-
-    rows = good.select("vec_id", "x", "label").mapInArrow(rank, "visit int, n long").groupBy("visit").agg(F.sum("n").alias("n")).collect()  # MAX_VISITS + 1 rows
-    seen = np.zeros(MAX_VISITS + 1, np.int64)
+                    match = path[p] == visits(v, book, 1)[r]
+                    np.add.at(seen, (p, np.where(match.any(axis=1), match.argmax(axis=1), MAX_VISITS)), 1)
+        p, k = np.nonzero(seen)
+        yield pa.RecordBatch.from_pydict({"probe": pa.array(p, pa.int64()), "visit": pa.array(k, pa.int64()), "n": pa.array(seen[p, k], pa.int64())})
+
+    # At most PROBES x (MAX_VISITS + 1) rows.
+    rows = good.select("vec_id", "x", "label").mapInArrow(rank, "probe long, visit long, n long").groupBy("probe", "visit").agg(F.sum("n").alias("n")).collect()
+    cells = len(books[0]) * len(books[1])
+    if not rows:
+        return min(LEAST_VISITS, cells)
+    seen = np.zeros((len(probes), MAX_VISITS + 1))
     for r in rows:
-        seen[r["visit"]] = r["n"]
-    if not seen.sum():
-        return min(16, len(books[0]) * len(books[1]))
-    reached = np.flatnonzero(np.cumsum(seen) >= math.ceil(recall * seen.sum()))
-    return int(min(reached[0] + 1, MAX_VISITS, len(books[0]) * len(books[1])))
+        seen[r["probe"], r["visit"]] = r["n"]
+    reached = np.cumsum(seen, axis=1)
+    every, each = reached.sum(axis=0), reached[reached[:, -1] > 0]
+    enough = np.minimum(every / every[-1], (each / each[:, -1:]).mean(axis=0)) >= recall
+    return int(min(max(np.argmax(enough) + 1, LEAST_VISITS), MAX_VISITS, cells))
