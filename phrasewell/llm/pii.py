@@ -150,11 +150,11 @@ def aggregate_votes(votes: np.ndarray, count: np.ndarray, rounds: int = 60) -> n
     return p
 
 
-def fit_classifier(x: np.ndarray, p: np.ndarray, count: np.ndarray, rounds: int = 400) -> np.ndarray:
+def fit_classifier(x: np.ndarray, p: np.ndarray, count: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights (bias last) of a ridge logistic regression on soft labels, by Newton steps."""
     x = np.hstack([x.astype(float), np.ones((len(x), 1))])
     w, c = np.zeros(x.shape[1]), count / max(count.sum(), 1)
-    for _ in range(min(rounds, 40)):
+    for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (c * (q - p)) + 1e-3 * w
         h = (x * (c * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(len(w))

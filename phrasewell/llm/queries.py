@@ -109,7 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-#: DuckDB SQL of the operators that SQL can express.
+#: Links to their smallest reachable id, in SQL.
 REACH = """near AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT DISTINCT a AS n, a AS r FROM near UNION SELECT reach.n, near.b FROM reach JOIN near ON reach.r = near.a),
 smallest AS (SELECT n, min(r) AS c FROM reach GROUP BY n)"""

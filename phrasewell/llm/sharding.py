@@ -78,7 +78,7 @@ def assign(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "tex
     depths = [r["depth"] for r in leaves.select("depth").distinct().collect()]  # 60 at most
     leaves = leaves.select("prefix", F.col("depth").alias("leaf_depth"), "shard_bytes")
     # A row's leaf: one equi-join on (depth, prefix); prefixes of leaves are disjoint, so exactly one matches.
-    rows = slim.withColumn("at", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.shiftright("hash", MAX_BITS - d).alias("p")) for d in sorted(depths)))))if depths else slim.withColumn("at", F.struct(F.lit(0).alias("d"), F.lit(0).cast("long").alias("p")))
+    rows = slim.withColumn("at", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.shiftright("hash", MAX_BITS - d).alias("p")) for d in sorted(depths))))) if depths else slim.withColumn("at", F.struct(F.lit(0).alias("d"), F.lit(0).cast("long").alias("p")))
     rows = rows.join(leaves, (F.col("at.d") == F.col("leaf_depth")) & (F.col("at.p") == F.col("prefix")))
     bits = F.when(F.col("leaf_depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("leaf_depth"), "0"))
     rows = rows.select("doc_id", "bytes", "hash", bits.alias("shard"), F.col("leaf_depth").alias("depth"), "shard_bytes")
