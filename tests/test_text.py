@@ -1,4 +1,4 @@
-"""Text rules and scoring: the assertions of the reference's unit tests, on column expressions."""
+"""Text rules, scoring and query expansion on small cases."""
 
 import math
 
