@@ -210,7 +210,9 @@ def possible(sizes: np.ndarray, prefixes: list[np.ndarray], ends: np.ndarray, nu
     rest = sizes - np.array([p.size for p in prefixes], np.int64)
     split, off = (n, 0) if left is None else (left, left)
     shorter = ends[:split, None] <= ends[None, off:]
-    most = overlaps(prefixes, left) + np.where(shorter, rest[:split, None], rest[None, off:])
+    # Hashes that collide within a prefix count once in the overlap; allow for each.
+    lost = np.array([p.size - np.unique(p).size for p in prefixes], np.int64)
+    most = overlaps(prefixes, left) + lost[:split, None] + lost[None, off:] + np.where(shorter, rest[:split, None], rest[None, off:])
     a, b = sizes[:split, None], sizes[None, off:]
     ok = (most * (num + den) >= num * (a + b)) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
     if left is None:
@@ -245,6 +247,21 @@ def blocked_links(docs: list[int], sets: list[np.ndarray], num: int, den: int, l
     return out
 
 
+def undominated(seats: DataFrame) -> DataFrame:
+    """``seats (hub, group)`` without clusters that lie wholly inside another one, whose pairs meet there anyway.
+
+    Each cluster is held against one other: the smallest hub that its own hub sits with.  That hub is smaller,
+    so a cluster that is dropped for one that is dropped itself lies inside what that one lies inside.
+    """
+    above = seats.where("hub < group").groupBy(F.col("group").alias("h")).agg(F.min("hub").alias("over"))
+    asked = seats.join(above, F.col("hub") == F.col("h")).select("hub", "group", "over")
+    there = seats.select(F.col("hub").alias("o"), F.col("group").alias("g"))
+    inside = asked.join(there, (F.col("over") == F.col("o")) & (F.col("group") == F.col("g")), "left_semi").groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    size = seats.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    gone = size.join(inside, "hub").where("n = m").select(F.col("hub").alias("gone"))
+    return seats.join(gone, F.col("hub") == F.col("gone"), "left_anti")
+
+
 def in_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """``kernel`` over each group of ``keys`` (rows in ``order``), many groups a batch.
 
@@ -331,9 +348,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
     hubs = heads.groupBy("shingle").agg(F.min("group").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     hubs = materialize(hubs.select("shingle", "hub"), "hubs")
     clusters = materialize(heads.join(hubs.hint("merge"), "shingle").select("hub", "group").distinct(), "clusters")
+    clusters = materialize(undominated(clusters), "clusters")
 
     # Filter pairs of groups by what sizes and prefixes allow.
-    facts = group.select("group", "n", "prefix")
+    # Half of each hash will do here: what collides can only let a pair pass.
+    halves = F.transform("prefix", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    facts = group.select("group", "n", F.element_at("prefix", -1).alias("final"), halves.alias("prefix"))
     seated = dealt(clusters, "group").join(facts.hint("merge"), "group")
 
     def sift(b: pa.RecordBatch) -> dict | None:
@@ -342,9 +362,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
             return None
         i, j = field("i")[0].as_py(), field("j")[0].as_py()
         lists = field("prefix")
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         made = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-        final = np.array([m[-1] for m in made])
+        final = field("final").to_numpy().view(np.uint64)
         # Late shingles follow all others in the global order: half the range each keeps order and fits.
         ends = (final >> np.uint64(1)) + (late_bits()[(final >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
         n_left = None if i == j else int(np.count_nonzero(field("own").to_numpy() == i))
@@ -359,8 +379,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
         return cached[0]
 
     cached: list[np.ndarray] = []
-    left = in_groups(seated.select("hub", "i", "j", "own", "group", "n", "prefix"), ["hub", "i", "j"], ["own", "group"], sift, "hub long, group long").distinct()
-    left = materialize(left, "sifted")
+    left = in_groups(seated.select("hub", "i", "j", "own", "group", "n", "final", "prefix"), ["hub", "i", "j"], ["own", "group"], sift, "hub long, group long").distinct()
+    left = materialize(undominated(materialize(left, "sifted")), "sifted")
     # Members of one group are a pair as well.
     named = sets.join(group.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).select("group", F.col("rep").alias("doc_id"), "s1")
     named = materialize(named, "named")
