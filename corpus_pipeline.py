@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasewell.llm.bpe import encode
-from phrasewell.llm.common import drop_scratch, owned_by, shared_dir
+from phrasewell.llm.common import drop_scratch, materialize, owned_by, shared_dir
 from phrasewell.llm.jaccard_join import near_duplicates
-from phrasewell.llm.line_dedup import dedup_lines
+from phrasewell.llm.line_dedup import dedup_lines, dedup_passages
 from phrasewell.llm.mixing import mixed_documents
 from phrasewell.llm.quality_rules import apply_rules
 from phrasewell.llm.queries import vocabulary
@@ -32,9 +32,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines (8); a document that loses its last word goes."""
-    out = dedup_lines(docs, gone="__gone")
-    hit = F.size("__gone") > 0
+    """Texts without later repeated runs of lines (8), then without later repeated passages within lines; a document that loses its last word goes."""
+    out = dedup_passages(materialize(dedup_lines(docs, gone="__gone"), "line-texts"), gone="__words")
+    hit = (F.size("__gone") > 0) | (F.size("__words") > 0)
     out = out.where(~hit | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*(F.when(hit, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 

@@ -20,6 +20,8 @@ partial aggregation before any shuffle, so no task collects their places, and no
 Null text counts as empty.  Rows equal in doc_id and text are one document and
 stay alike.  Texts with fewer than ``min_words`` words are unchanged.  An empty table gives an
 empty result.  Other columns, null or not, pass through.
+
+Passages that start or end within a line are a second pass, :func:`dedup_passages`: runs of words, whatever their lines.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ from pyspark.sql import functions as F
 from .common import let, materialize
 
 MIN_WORDS = 30
+#: Words of a passage within lines, at least.
+PASSAGE_WORDS = 50
+#: Hashes below this are an eighth of all.
+LOW = -(6 << 60)
 
 
 def _reach(n: Column, least: int) -> Column:
@@ -97,3 +103,113 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     stay = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: F.get(ls, i)), "\n")
     new = F.when(F.col("__gone").isNull(), docs[text]).otherwise(let(lines, stay))
     return both.select(*(new.alias(c) if c == text else docs[c] for c in names), F.coalesce(F.col("__gone"), F.array().cast("array<int>")).alias(gone))
+
+
+def _words(text: Column) -> Column:
+    """Words of a text, each with the white space after it; what stands before the first is left out."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+
+
+def _hashes(words: Column, seed: int) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(F.lit(seed), F.rtrim(x, F.lit(" \t\n\r\x0b\x0c"))))
+
+
+def anchors(text: Column, size: int) -> Column:
+    """Array of ``fp``, ``lo``, ``hi``: each window of ``size`` words (``lo`` to ``hi`` are first words) under the fingerprint of its anchor.
+
+    The anchor is the first word of least hash, so equal windows have it at the same place; it counts
+    with the half window before it if that lies in the window, else with the one after it.
+    Low hashes and stretches of a window or more without any decide which words can be anchors.
+    """
+    side = (size + 1) // 2
+
+    def made(h: Column) -> Column:
+        n = F.size(h)
+        low = F.filter(F.transform(h, lambda x, i: F.when(x < LOW, i)), lambda i: i.isNotNull())
+
+        def with_gaps(p: Column) -> Column:
+            ends = F.concat(F.array(F.lit(-1)), p, F.array(n))
+            gap = lambda a, i: F.when(F.get(ends, i + 1) - a > size, F.sequence(a + 1, F.get(ends, i + 1) - 1)).otherwise(F.array().cast("array<int>"))
+            return F.array_sort(F.concat(p, F.flatten(F.transform(F.slice(ends, 1, F.size(p) + 1), gap))))
+
+        places = let(let(low, with_gaps), lambda c: F.transform(c, lambda i: F.struct(i.alias("p"), F.get(h, i).alias("h"))))
+
+        def spans(c: Column) -> Column:
+            def near(x: Column, j: Column) -> Column:
+                few, many = F.lit(12), F.lit(size)
+                back = F.when((j < few) | (F.get(c, j - few)["p"] <= x["p"] - size), few).otherwise(many)
+                left = F.slice(c, F.greatest(F.lit(1), j - back + 1), F.least(back, j))
+                right = F.slice(c, j + 2, F.when(F.coalesce(F.get(c, j + few)["p"], n + size) >= x["p"] + size, few).otherwise(many))
+                q = F.aggregate(left, F.lit(-1), lambda a, y: F.when(y["h"] <= x["h"], y["p"]).otherwise(a))
+                r = F.aggregate(right, n, lambda a, y: F.when((y["h"] < x["h"]) & (y["p"] < a), y["p"]).otherwise(a))
+                return F.struct(x["p"].alias("p"), F.greatest(q + 1, x["p"] - size + 1).alias("lo"), F.least(x["p"], r - size).alias("hi"))
+
+            def sides(x: Column) -> Column:
+                mid = x["p"] - side + 1
+                part = lambda at, lo, hi, seed: F.struct(F.xxhash64(F.lit(seed), F.slice(h, F.greatest(at, F.lit(0)) + 1, side)).alias("fp"), x["p"].alias("at"), lo.alias("lo"), hi.alias("hi"))
+                return F.filter(F.array(part(mid, x["lo"], F.least(x["hi"], mid), 1), part(x["p"], F.greatest(x["lo"], mid + 1), x["hi"], 2)), lambda y: y["lo"] <= y["hi"])
+
+            return F.flatten(F.transform(F.filter(F.transform(c, near), lambda x: x["lo"] <= x["hi"]), sides))
+
+        return let(places, spans)
+
+    kind = "array<struct<fp:bigint,at:int,lo:int,hi:int>>"
+    return let(_words(text), lambda w: F.when(F.size(w) >= size, let(_hashes(w, 1), made)).otherwise(F.array().cast(kind)))
+
+
+def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, th, gone``: for each document with a passage of ``size`` words or more that stands at an earlier place, the words that go, from 0.
+
+    Places are ordered as for lines.  Within a text only a copy that does not overlap the first counts, so that the first stays whole.
+    """
+    th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    found = materialize(docs.select(docs[doc_id].alias("id"), th.alias("th"), F.inline(anchors(docs[text], size))), "anchors")
+
+    def place(at: Column) -> Column:
+        return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("th").alias("th"), at.alias("at"))
+
+    spread = found.groupBy("fp").agg(F.min(place(F.col("at"))).alias("first"), F.max(place(F.col("at"))).alias("last"))
+    spread = materialize(spread.where(~F.col("first").eqNullSafe(F.col("last"))).select("fp"), "anchor-fingerprints")
+    seats = found.join(spread, "fp", "left_semi").groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("lo", "hi")).alias("__seats"))
+    seats = materialize(seats, "anchor-seats")
+
+    both = docs.join(seats.hint("merge"), docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")))
+
+    def keys(w: Column) -> Column:
+        pair = F.struct(_hashes(w, 1).alias("a"), _hashes(w, 7).alias("b"))
+        each = lambda h: F.transform(F.flatten(F.transform("__seats", lambda s: F.sequence(s["lo"], s["hi"]))), lambda s: F.struct(s.alias("at"), F.xxhash64(F.slice(h["a"], s + 1, size)).alias("k1"), F.xxhash64(F.slice(h["b"], s + 1, size)).alias("k2")))
+        return let(pair, each)
+
+    windows_ = both.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.inline(let(_words(docs[text]), keys)))
+    windows_ = materialize(windows_, "passage-windows")
+    here = place(F.col("at"))
+    first = windows_.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last"))
+    first = materialize(first.where(~F.col("first").eqNullSafe(F.col("last"))).select("k1", "k2", "first"), "passage-firsts")
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    later = windows_.join(first, ["k1", "k2"]).where(~same | (F.col("at") >= F.col("first.at") + size))
+    words = F.flatten(F.transform(F.collect_set("at"), lambda s: F.sequence(s, s + size - 1)))
+    return later.groupBy("id", "th").agg(words.alias("gone")).select("id", "th", F.array_sort(F.array_distinct("gone")).alias("gone"))
+
+
+def dedup_passages(docs: DataFrame, size: int = PASSAGE_WORDS, doc_id: str = "doc_id", text: str = "text", gone: str = "removed_words") -> DataFrame:
+    """``docs`` with later repeated passages deleted from ``text``, and the array column ``gone`` of the deleted words' numbers.
+
+    A line that ends with a deleted passage keeps its end.
+    """
+    names = [c for c in docs.columns if c != gone]
+    hits = materialize(repeated_passages(docs, size, doc_id, text), "passage-gone")
+    hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__out"))
+    th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    both = docs.join(hits.hint("merge"), docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
+
+    def stay(w: Column) -> Column:
+        numbers = F.col("__out")
+        # Ends of deleted runs that end a line.
+        last = F.transform(numbers, lambda x, k: F.when((F.coalesce(F.get(numbers, k + 1), F.lit(-1)) != x + 1) & F.contains(F.get(w, x), F.lit("\n")), x))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), numbers)
+        parts = F.concat(F.transform(kept, lambda i: F.struct(i.alias("i"), F.get(w, i).alias("x"))), F.transform(F.filter(last, lambda i: i.isNotNull()), lambda i: F.struct(i.alias("i"), F.lit("\n").alias("x"))))
+        return F.array_join(F.array_sort(parts)["x"], "")
+
+    head = F.regexp_extract(docs[text], r"^[\x20\x09-\x0D]*", 0)
+    new = F.when(F.col("__out").isNull(), docs[text]).otherwise(F.concat(head, let(_words(docs[text]), stay)))
+    return both.select(*(new.alias(c) if c == text else docs[c] for c in names), F.coalesce(F.col("__out"), F.array().cast("array<int>")).alias(gone))

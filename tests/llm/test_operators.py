@@ -115,6 +115,51 @@ def test_line_dedup_repeated_and_null_ids(spark):
     assert [g[1] for g in got] == [[], [], [1], [0]]
 
 
+def passage_words(rows, size):
+    """Words of every window of ``size`` words that stood earlier, without overlap."""
+    seen, out = {}, {}
+    for i, t in rows:
+        w, gone = WORD.findall(t or ""), set()
+        for s in range(len(w) - size + 1):
+            j, p = seen.setdefault(tuple(w[s : s + size]), (i, s))
+            if j != i or s >= p + size:
+                gone.update(range(s, s + size))
+        out[i] = sorted(gone)
+    return out
+
+
+def without_words(t, gone):
+    parts = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t or "")
+    gone = set(gone)
+    head = re.match(r"[\x20\x09-\x0D]*", t or "").group()
+    return head + "".join(x if k not in gone else "\n" if k + 1 not in gone and "\n" in x else "" for k, x in enumerate(parts)) if gone else t
+
+
+@pytest.mark.parametrize("size", [5, 12, 50])
+def test_passages_within_lines(spark, empty, size):
+    rng = np.random.default_rng(9)
+    passage = sentence(300, 60)
+    rows = [*texts(), f"own start {passage} own end\nnext", f"other\n words before {passage}\nafter it", f"{sentence(301, 30)} {passage} {sentence(302, 30)}"]
+    rows += [" ".join(rng.choice(list("pqrs"), int(rng.integers(1, 160)))) for _ in range(20)]  # many ties
+    rows += [" ".join(f"w{n}" for n in rng.permutation(80)) + " " + passage[: int(rng.integers(100, 360))] for _ in range(20)]
+    rows = list(enumerate(rows))
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(df, size, gone="removed").collect()}
+    want = passage_words(rows, size)
+    assert any(want.values()) and {i: list(r.removed) for i, r in got.items()} == want
+    assert {i: r.text for i, r in got.items()} == {i: without_words(t, want[i]) for i, t in rows}
+    assert line_dedup.dedup_passages(empty).count() == 0
+
+
+def test_pipeline_lines_takes_passages_within_lines(spark):
+    import corpus_pipeline
+
+    passage = sentence(300, 60)
+    df = spark.createDataFrame([(1, f"own start {passage} own end", 0), (2, f"two {passage} three", 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["lines"](spark, df, "").collect()}
+    assert passage in got[1].text and got[2].text == "two three" and got[2].n_chars == 9
+
+
 # 7 ------------------------------------------------------------------------
 
 
