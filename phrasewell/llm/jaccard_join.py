@@ -45,6 +45,8 @@ CELLS = 1 << 20
 PIECES = 64
 #: Sets compared at once, and columns of the incidence matrix at once.
 BLOCK = 512
+#: Shingles of a block of sets, about.
+BLOCK_SHINGLES = 1 << 24
 COLUMNS = 1 << 14
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
@@ -262,6 +264,18 @@ def undominated(seats: DataFrame) -> DataFrame:
     return seats.join(gone, F.col("hub") == F.col("gone"), "left_anti")
 
 
+def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of all rows: binary and list columns get 64-bit offsets, as those of 32 bits end at 2 GiB and would leave several chunks."""
+    if len(held) == 1:
+        return held[0]
+    kind = lambda t: pa.large_binary() if pa.types.is_binary(t) else pa.large_list(t.value_type) if pa.types.is_list(t) else t
+    wide = pa.schema([pa.field(f.name, kind(f.type)) for f in held[0].schema])
+    whole = pa.Table.from_batches(held).cast(wide).combine_chunks().to_batches()
+    if len(whole) > 1:
+        raise ValueError("the rows of a group do not fit one batch")
+    return whole[0]
+
+
 def in_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """``kernel`` over each group of ``keys`` (rows in ``order``), many groups a batch.
 
@@ -274,8 +288,7 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable
         last = None
 
         def done(out: list[dict]) -> None:
-            whole = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            if (found := kernel(whole)) is not None:
+            if (found := kernel(joined(held))) is not None:
                 out.append(found)
             held.clear()
 
@@ -305,9 +318,12 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def dealt(seats: DataFrame, who: str) -> DataFrame:
-    """``hub, who, own, i, j``: seats of each cluster dealt into pairs of blocks of about ``BLOCK``."""
-    blocks = materialize(seats.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+def dealt(seats: DataFrame, who: str, size: str | None = None) -> DataFrame:
+    """``hub, who, own, i, j``: seats of each cluster dealt into pairs of blocks of about ``BLOCK``; with ``size``, of about ``BLOCK_SHINGLES`` shingles at most."""
+    least = F.count(F.lit(1)) / BLOCK
+    if size:
+        least = F.greatest(least, F.sum(size) / BLOCK_SHINGLES)
+    blocks = materialize(seats.groupBy("hub").agg(F.ceil(least).cast("int").alias("blocks")), "blocks")
     out = seats.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64(who), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
     return out.select("hub", who, "own", F.inline(pairs))
@@ -382,13 +398,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
     left = in_groups(seated.select("hub", "i", "j", "own", "group", "n", "final", "prefix"), ["hub", "i", "j"], ["own", "group"], sift, "hub long, group long").distinct()
     left = materialize(undominated(materialize(left, "sifted")), "sifted")
     # Members of one group are a pair as well.
-    named = sets.join(group.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).select("group", F.col("rep").alias("doc_id"), "s1")
+    named = sets.join(group.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).select("group", F.col("rep").alias("doc_id"), "s1", "n")
     named = materialize(named, "named")
     own = named.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("group").alias("hub"), "group")
-    members = left.unionByName(own).distinct().join(named, "group").select("hub", "doc_id", "s1").distinct()
+    members = left.unionByName(own).distinct().join(named, "group").select("hub", "doc_id", "s1", "n").distinct()
     members = materialize(members, "seats")
 
-    seats = dealt(members, "doc_id").withColumnRenamed("doc_id", "d").groupBy("d").agg(F.collect_list(F.struct("hub", "own", "i", "j")).alias("seats"))
+    seats = dealt(members, "doc_id", "n").withColumnRenamed("doc_id", "d").groupBy("d").agg(F.collect_list(F.struct("hub", "own", "i", "j")).alias("seats"))
     seats = materialize(seats.join(sets.select(F.col("rep"), F.col("s1")), F.col("d") == F.col("rep")).select("d", "s1", "seats"), "dealt")
     # Only documents with a seat go on; a merge join at every size.
     texts = docs.join(seats.hint("merge"), docs["doc_id"] == F.col("d")).select("doc_id", "text", "seats", "s1")

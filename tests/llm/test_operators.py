@@ -211,6 +211,25 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert [g[0] for g in got] == [1, 2, 3] and got[0][2] == got[1][2] == 1
 
 
+def test_batches_of_a_group_are_joined_whole():
+    import pyarrow as pa
+
+    big = pa.py_buffer(bytes(1 << 30))  # shared by all values, so only the joined batch takes memory
+    one = lambda k: pa.RecordBatch.from_arrays([pa.array([k]), pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, 1 << 30], "<i4").tobytes()), big])], names=["doc_id", "set"])
+    got = jaccard_join.joined([one(1), one(2), one(3)])
+    assert got.column(0).to_pylist() == [1, 2, 3] and len(got.column(1)[2].as_buffer()) == 1 << 30
+
+
+def test_blocks_are_sized_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 100)
+    seats = spark.createDataFrame([(1, d, 60) for d in range(10)] + [(2, d, 5) for d in range(10)], "hub long, doc_id long, n long")
+    got = {r.hub: r.j for r in jaccard_join.dealt(seats, "doc_id", "n").groupBy("hub").agg(F.max("j").alias("j")).collect()}
+    assert got == {1: 5, 2: 0}
+    base = sentence(7, 60)
+    df = spark.createDataFrame([(i, f"{base} w{i}") for i in range(12)] + [(20, sentence(8))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df).collect()} == {**dict.fromkeys(range(12), 0), 20: 20}
+
+
 # 6 ------------------------------------------------------------------------
 
 
