@@ -7,7 +7,9 @@ filed under its cell, and visits the nearest cells in multi-sequence order (by t
 of squared distances to both codewords).  The number of cells to visit is
 set by measuring, for up to ``PROBES`` sampled vectors against all vectors, at which
 visit each true neighbour would be found, until the recall of all links and the mean recall of
-the probes both meet ``recall`` (a group of thousands of copies can't outvote the rest).
+the probes both meet ``recall`` (a group of thousands of copies can't outvote the rest).  If ``MAX_VISITS`` are not enough, more
+are measured, up to the whole grid, which finds all.  Where no probe has a neighbour, made-up
+neighbours right at the threshold are measured instead.
 
 Pairs that meet in a cell are verified by cosine in double precision, so no
 link is below the threshold.  Cells are compared in blocks of at most ``BLOCK``
@@ -39,6 +41,8 @@ BLOCK = 1024
 CODEWORDS = 32
 MAX_VISITS = 64
 LEAST_VISITS = 4
+#: Least visits if no probe has a neighbour.
+SAFE_VISITS = 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -184,13 +188,30 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, recall: float =
 
 def calibrate(good: DataFrame, probes: list[tuple], x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float) -> int:
     """Visits at which the probes' true neighbours among all vectors are found to the wanted recall; pairs also meet from the other side, so real recall is higher."""
-    sent = good.sparkSession.sparkContext.broadcast((probes, x, visits(x, books, MAX_VISITS), books))
+    cells = len(books[0]) * len(books[1])
+    most = min(MAX_VISITS, cells)
+    while not (needed := measured(good, probes, x, books, threshold, recall, most)) and most < cells:
+        most = min(4 * most, cells)
+    return needed or cells
+
+
+def made_up(x: np.ndarray, threshold: float) -> np.ndarray:
+    """A vector at cosine ``threshold`` to each row of ``x``, in a random direction; reruns agree."""
+    aside = np.random.default_rng(20240607).normal(size=x.shape)
+    aside = unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    return threshold * x + np.sqrt(1 - threshold * threshold) * aside
+
+
+def measured(good: DataFrame, probes: list[tuple], x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float, most: int) -> int:
+    """Visits that reach ``recall`` within the nearest ``most`` cells; 0 if none do."""
+    sent = good.sparkSession.sparkContext.broadcast((probes, x, visits(x, books, most), books))
     dim = x.shape[1]
+    cells = len(books[0]) * len(books[1])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named, q, path, book = sent.value
         label, own = np.array([str(p[0]) for p in named]), np.array([p[1] for p in named])
-        seen = np.zeros((len(named), MAX_VISITS + 1), np.int64)
+        seen = np.zeros((len(named), most + 1), np.int64)
         for b in batches:
             for part in (b.slice(k, 2048) for k in range(0, b.num_rows, 2048)):
                 v = unit(np.asarray(part.column(1).flatten()).reshape(-1, dim))
@@ -198,19 +219,21 @@ def calibrate(good: DataFrame, probes: list[tuple], x: np.ndarray, books: tuple[
                 p, r = np.nonzero(hit)
                 if p.size:
                     match = path[p] == visits(v, book, 1)[r]
-                    np.add.at(seen, (p, np.where(match.any(axis=1), match.argmax(axis=1), MAX_VISITS)), 1)
+                    np.add.at(seen, (p, np.where(match.any(axis=1), match.argmax(axis=1), most)), 1)
         p, k = np.nonzero(seen)
         yield pa.RecordBatch.from_pydict({"probe": pa.array(p, pa.int64()), "visit": pa.array(k, pa.int64()), "n": pa.array(seen[p, k], pa.int64())})
 
-    # At most PROBES x (MAX_VISITS + 1) rows.
+    # At most PROBES x (most + 1) rows.
     rows = good.select("vec_id", "x", "label").mapInArrow(rank, "probe long, visit long, n long").groupBy("probe", "visit").agg(F.sum("n").alias("n")).collect()
-    cells = len(books[0]) * len(books[1])
-    if not rows:
-        return min(LEAST_VISITS, cells)
-    seen = np.zeros((len(probes), MAX_VISITS + 1))
+    seen = np.zeros((len(probes), most + 1))
     for r in rows:
         seen[r["probe"], r["visit"]] = r["n"]
+    if not rows:
+        match = visits(x, books, most) == visits(made_up(x, threshold), books, 1)
+        seen[np.arange(len(x)), np.where(match.any(axis=1), match.argmax(axis=1), most)] = 1
     reached = np.cumsum(seen, axis=1)
     every, each = reached.sum(axis=0), reached[reached[:, -1] > 0]
-    enough = np.minimum(every / every[-1], (each / each[:, -1:]).mean(axis=0)) >= recall
-    return int(min(max(np.argmax(enough) + 1, LEAST_VISITS), MAX_VISITS, cells))
+    enough = np.minimum(every / every[-1], (each / each[:, -1:]).mean(axis=0))[:most] >= recall
+    if not enough.any():
+        return 0
+    return int(min(max(np.argmax(enough) + 1, LEAST_VISITS if rows else SAFE_VISITS), cells))

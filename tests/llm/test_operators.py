@@ -260,6 +260,27 @@ def test_multi_index(spark, block, monkeypatch):
     assert multi_index.near_embeddings(none).count() == 0
 
 
+def test_visits_are_widened_until_recall_is_met(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "MAX_VISITS", 1)
+    monkeypatch.setattr(multi_index, "LEAST_VISITS", 1)
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=16)
+    x = c + rng.normal(size=(60, 16)) * 0.22
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = multi_index.unit(x)
+    want = int(((u @ u.T >= 0.93).sum() - 60))
+    assert want > 0 and sum(r.n_links for r in multi_index.near_embeddings(df, codewords=8, recall=1.0).collect()) == want
+
+
+def test_visits_without_measured_pairs(spark):
+    x = multi_index.unit(np.random.default_rng(8).normal(size=(300, 64)))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, x array<double>, label int")
+    books = multi_index.k_means(x[:, :32], 32), multi_index.k_means(x[:, 32:], 32)
+    got = multi_index.calibrate(df, [(0, i) for i in range(300)], x, books, 0.93, 0.999)
+    match = multi_index.visits(x, books, got) == multi_index.visits(multi_index.made_up(x, 0.93), books, 1)
+    assert got >= 16 and match.any(axis=1).mean() >= 0.999 and np.allclose((multi_index.made_up(x, 0.93) * x).sum(axis=1), 0.93)
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(1)
     books = rng.normal(size=(6, 4)), rng.normal(size=(6, 4))
