@@ -40,10 +40,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each class of near duplicates (7)."""
-    found = near_duplicates(docs, SHINGLE, *SIMILARITY)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of each class of near duplicates (7): of the smallest doc_id (null last), then text hash.
+
+    Each distinct pair of doc_id and text is judged by itself, whether its id is null or stands with other texts as well; repeats
+    of a pair are one row.  Pairs are told apart by a 64-bit hash.
+    """
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("__row", row)
+    found = near_duplicates(rows.select("__row", "text"), SHINGLE, *SIMILARITY, doc_id="__row").select(F.col("doc_id").alias("r"), "component_id")
+    named = rows.groupBy(F.col("__row").alias("row")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    found = materialize(found.join(named, F.col("r") == F.col("row")).select("row", "id", "n", "component_id"), "copies")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = found.groupBy(F.col("component_id").alias("c")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    gone = found.join(first, F.col("component_id") == F.col("c")).where("row <> first.row").select(F.col("row").alias("__gone"))
+    kept = rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    again = found.where("n > 1").select(F.col("row").alias("__again"))
+    at = F.col("__row") == F.col("__again")
+    once = kept.join(again, at, "left_anti").select(*docs.columns)
+    repeated = kept.join(again, at, "left_semi").groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("d")).select("d.*")
+    return once.unionByName(repeated)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -529,3 +529,13 @@ def test_pipeline(spark, docs, empty, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
     assert hashlib.sha256(b"").hexdigest() not in {r.ids_sha256 for r in out}
     assert isinstance(docs.schema, T.StructType)
+
+
+def test_pipeline_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    t, u, v = sentence(1), sentence(2), sentence(3)
+    rows = [(None, t), (None, t), (1, t), (2, u), (2, t + " a"), (3, u), (4, v), (4, v), (None, sentence(4)), (None, sentence(4)), (5, None), (None, sentence(5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, df, "").collect()
+    assert Counter(map(tuple, got)) == Counter([(1, t), (2, u), (4, v), (None, sentence(4)), (5, None), (None, sentence(5))])
