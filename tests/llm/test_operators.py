@@ -539,3 +539,50 @@ def test_pipeline_near_copies_with_null_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = dict(corpus_pipeline.STAGES)["near_copies"](spark, df, "").collect()
     assert Counter(map(tuple, got)) == Counter([(1, t), (2, u), (4, v), (None, sentence(4)), (5, None), (None, sentence(5))])
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All rows of the pipeline; the decisions of the quality rules beyond the base ones and the copies of mixing are the operators'."""
+    import base64
+
+    import corpus_pipeline
+
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    lib.no_truncation()
+    lib.no_padding()
+    passage = sentence(300, 60)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    rows = [tuple(r) for r in table.where(F.length("text") < 20_000).collect()]
+    assert all(r[0] is not None and r[0] < 10**6 for r in rows)
+    long = sorted((r for r in rows if len(r[1]) > 1000), key=lambda r: r[0])[:2]
+    rows += [(10**6 + i, f"{r[1]} {passage} the end of it", r[2], r[3], None) for i, r in enumerate(long)]
+    upper = {v: k for k, v in LOWER.items()}
+    rows += [(2 * 10**6 + i, r[1].translate(upper), r[2], r[3], None) for i, r in enumerate(rows[:60])]  # copies that only shingles see
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    q = {r.doc_id: r.q for r in quality_rules.apply_rules(df, as_="q").collect()}
+    for i, t, *_ in rows:
+        n, *_, rep = rule_facts(t)
+        assert q[i].base_failed == (n < 20 or 100 * rep > 30 * n)
+    kept = sorted(r for r in rows if q[r[0]].kept)
+    gone, left = gone_lines([r[:2] for r in kept], 30), {}
+    for i, t, *_ in kept:
+        left[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(gone[i])) if gone[i] else t
+    words = passage_words(sorted(left.items()), 50)
+    left = {i: without_words(t, words[i]) for i, t in left.items()}
+    left = {i: t for i, t in left.items() if not (gone[i] or words[i]) or WORD.search(t)}
+    of = classes({i: shingle_set(t, 5) for i, t in left.items()}, 8, 10)
+    facts = {r[0]: r for r in kept}
+    stay = [(i, left[i], *facts[i][2:4], len(left[i])) for i in left if of[i] == i]
+    copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(stay, SCHEMA)).collect()}
+    want = Counter()
+    for i, t, lang, source, _ in stay:
+        ids = np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        if copies[i]:
+            want[i, lang, source, len(ids) // 4, base64.b64encode(ids).decode(), hashlib.sha256(ids).hexdigest()] = copies[i]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert any(gone.values()) and any(words.values()) and len(stay) < len(left) and want
+    assert Counter((r.doc_id, r.lang, r.source, r.n_tokens, r.ids, r.ids_sha256) for r in got) == want
