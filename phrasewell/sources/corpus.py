@@ -40,11 +40,12 @@ def scan_directory(spark: SparkSession, root: str, limit: int = MAX_FILES) -> Da
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table as files of several roles and modules."""
+    """The documents table as files of several roles and modules; a null source, lang or doc_id stands as ``_`` in the path."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    role = F.element_at(F.array(*map(F.lit, ("src", "tests", "vendor", "scripts", "docs"))), (1 + F.col("doc_id") % 5).cast("int"))
-    ending = F.element_at(F.array(*map(F.lit, (".ts", ".ts", ".js", ".py", ".txt"))), (1 + F.col("doc_id") % 5).cast("int"))
-    path = F.concat(role, F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), ending)
+    role = F.element_at(F.array(*map(F.lit, ("src", "tests", "vendor", "scripts", "docs"))), (1 + F.coalesce("doc_id", F.lit(0)) % 5).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, (".ts", ".ts", ".js", ".py", ".txt"))), (1 + F.coalesce("doc_id", F.lit(0)) % 5).cast("int"))
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    path = F.concat(role, F.lit("/"), part("source"), F.lit("/"), part("lang"), F.lit("/doc_"), part("doc_id"), ending)
     return d.select(path.alias("file_path"), "text")
 
 

@@ -158,3 +158,12 @@ def test_watch(spark, tmp_path):
     assert seen == [[("a.ts", "two"), ("b.ts", None)]]
     merged = refresh.merge_batch(corpus(spark, {"b.ts": "x", "c.ts": "y"}), spark.createDataFrame(seen[0], "file_path string, text string"))
     assert {r.file_path: r.text for r in merged.collect()} == {"a.ts": "two", "c.ts": "y"}
+
+
+def test_documents_with_null_source_or_lang_have_paths(spark, tmp_path):
+    from phrasewell.sources.corpus import documents_corpus
+
+    rows = [(1, "a", None, "s"), (2, "b", "en", None), (None, "c", "en", "s"), (5, "d", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.text: r.file_path for r in documents_corpus(spark, str(tmp_path)).collect()}
+    assert got == {"a": "tests/s/_/doc_1.ts", "b": "vendor/_/en/doc_2.js", "c": "src/s/en/doc__.ts", "d": "src/s/en/doc_5.ts"}
