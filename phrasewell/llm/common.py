@@ -9,6 +9,8 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +86,57 @@ def words_of(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Number of white-space separated words as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of all rows: binary and list columns get 64-bit offsets, as those of 32 bits end at 2 GiB and would leave several chunks."""
+    if len(held) == 1:
+        return held[0]
+    kind = lambda t: pa.large_binary() if pa.types.is_binary(t) else pa.large_list(t.value_type) if pa.types.is_list(t) else t
+    wide = pa.schema([pa.field(f.name, kind(f.type)) for f in held[0].schema])
+    whole = pa.Table.from_batches(held).cast(wide).combine_chunks().to_batches()
+    if len(whole) > 1:
+        raise ValueError("the rows of a group do not fit one batch")
+    return whole[0]
+
+
+def in_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+    """``kernel`` over each group of ``keys`` (rows in ``order``), many groups a batch.
+
+    Groups are of bounded size here, and most are tiny, so they are cut from sorted batches without a frame for each.
+    """
+    types = pa.schema([(f.split()[0], pa.int64()) for f in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done(out: list[dict]) -> None:
+            if (found := kernel(joined(held))) is not None:
+                out.append(found)
+            held.clear()
+
+        def packed(out: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(o[c], np.int64) for o in out]), pa.int64()) for c in types.names], schema=types)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out: list[dict] = []
+            k = np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in keys])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(k[:, s].tolist())
+                if held and key != last:
+                    done(out)
+                held.append(b.slice(s, e - s))
+                last = key
+            if out:
+                yield packed(out)
+        out = []
+        if held:
+            done(out)
+        if out:
+            yield packed(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -3,12 +3,12 @@
 Documents are sets of shingle hashes.  Two sets link when
 ``den * |A and B| >= num * |A or B|``.
 
-1. Order.  A counting pass over all shingles fills a sketch of fixed size;
+1. Order.  A counting pass over all shingles fills a sketch that grows with the input up to 2^23 cells;
    shingles whose cell is far above the mean come last in the global order, the rest
    are ordered by hash.  Any fixed order is exact; this one keeps common passages out of prefixes.
 2. Prefixes.  Linked sets share a shingle among the first
    ``n - ceil(t * n) + 1`` of each.  Sets with identical prefix and size collapse into one group
-   (equal sets first of all, which collapse to their smallest doc_id).
+   (equal sets first of all, which collapse to one node).
 3. Group pairs.  Each prefix shingle of two groups or more picks one of its
    groups as hub, and a group joins the cluster of each of its hubs: every pair
    that shares a prefix shingle meets in a cluster, without a pair row.  Within blocks of a
@@ -16,20 +16,22 @@ Documents are sets of shingle hashes.  Two sets link when
    beyond the shorter reach nothing but the rest of the set can be common.
 4. Expand and verify.  Members of the groups that are left are expanded and their whole sets compared in blocks of
    ``BLOCK``; large clusters are cut into pairs of blocks, so no task holds one.
-   A block returns a spanning forest of its links: linear rows, no link between components lost.
+   A block returns a spanning forest of its links and link counts per node: linear rows, no link between components lost.
 5. Components of the links, then membership for every document.
 
-Shingles are compared by 64-bit hash.  Null, empty or blank texts have no set
-and link with nothing.  Texts shorter than a shingle count as one shingle.
-doc_id is an integer.  Rows with the same doc_id are one document; if their
-texts differ, the set of smallest (size, hash) stands for it.  Rows with a
-null doc_id can't be named in a class and are left out.  An empty table gives
-an empty result.  Other columns are ignored.
+Shingles are compared by 64-bit hash, sets by size and 128-bit hash.
+
+Every row is a document of its own: rows that repeat an id, or have none, are
+compared by their own texts and get a result each.  A class is named by the smallest doc_id in it
+(null if no row of it has an id).  Null, empty or blank texts have no set and link with
+nothing.  Texts shorter than a shingle count as one shingle; long texts are hashed whole, however long a
+word is.  doc_id is an integer.  Ties need no order: classes and link counts depend on the sets alone.
+An empty table gives an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_groups, joined, materialize
 from .components import components
 
-#: Cells of the counting sketch (a power of two) and pieces it is summed in.
-CELLS = 1 << 20
+#: Bits of a cell's number in the counting sketch: it grows with the input between these, a cell for every KB of files.
+CELL_BITS = (20, 23)
+#: Pieces that the sketch is summed in.
 PIECES = 64
 #: Sets compared at once, and columns of the incidence matrix at once.
 BLOCK = 512
@@ -50,6 +53,8 @@ BLOCK_SHINGLES = 1 << 24
 COLUMNS = 1 << 14
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
+#: Bytes of a word under one polynomial.
+PIECE = 64
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -81,29 +86,31 @@ class Shingler:
         self.space[[32, 9, 10, 11, 12, 13]] = True
         self.base = 0x9E3779B97F4A7C15 | 1
 
-    def powers(self, n: int) -> np.ndarray:
-        out = np.empty(n, np.uint64)
-        out[0] = 1
-        filled, step = 1, self.base
-        while filled < n:
-            m = min(filled, n - filled)
-            out[filled : filled + m] = out[:m] * np.uint64(step)
-            filled += m
-            step = step * step & 0xFFFFFFFFFFFFFFFF
-        return out
+        self.powers = np.ones(PIECE, np.uint64)
+        for j in range(1, PIECE):
+            self.powers[j] = np.uint64(int(self.powers[j - 1]) * self.base & 0xFFFFFFFFFFFFFFFF)
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and start of each word of the bytes, by a running polynomial sum whose value at the word's end is scaled back to its start."""
+        """Hash and start of each word of the bytes.
+
+        A polynomial covers ``PIECE`` bytes at most; the pieces of longer words are mixed with their number
+        before they are added, as polynomials of any length modulo 2 ** 64 collide on words that can be written down.
+        """
         word = ~self.space[data]
         edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        # Horner form per word: sum of table[byte] * base ** (distance to the word's end).
         length = end - start
-        place = np.repeat(end, length) - 1 - np.flatnonzero(word)
-        value = self.table[data[word]] * self.powers(int(length.max(initial=0)) + 1)[place]
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
         stop = np.cumsum(length)
-        return mixed(total[stop] - total[stop - length] + length.astype(np.uint64)), start
+        inside = np.arange(stop[-1] if stop.size else 0) - np.repeat(stop - length, length)
+        value = self.table[data[word]] * self.powers[inside % PIECE]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+        if length.max(initial=0) <= PIECE:
+            return mixed(total[stop] - total[stop - length] + length.astype(np.uint64)), start
+        head = np.flatnonzero(inside % PIECE == 0)
+        part = total[np.append(head[1:], inside.size)] - total[head]
+        first = inside[head] == 0
+        part = np.where(first, part, mixed(part ^ mixed((inside[head] // PIECE).astype(np.uint64))))
+        return mixed(np.add.reduceat(part, np.flatnonzero(first)) + length.astype(np.uint64)), start
 
     def block(self, texts: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b"\n".join(texts), np.uint8)
@@ -115,7 +122,7 @@ class Shingler:
         s = np.zeros(n, np.uint64)
         for j in range(self.k):
             shifted = np.zeros(n, np.uint64)
-            shifted[: n - j] = h[j:]
+            shifted[: max(n - j, 0)] = h[j:]
             s = mixed(s * np.uint64(0xD6E8FEB86659FD93) + shifted + np.uint64(j + 1))
         out = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -143,19 +150,31 @@ class Shingler:
             yield from self.block(run)
 
 
-def hot_cells(docs: DataFrame, k: int) -> np.ndarray:
+def cell_bits(docs: DataFrame) -> int:
+    """Bits for the sketch's cells by the size that the plan states of its input; the least number if it states none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return CELL_BITS[0] if size >= 1 << 60 else min(max(CELL_BITS[0], (size >> 10).bit_length()), CELL_BITS[1])
+
+
+def hot_cells(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     """Bitmap of the sketch's cells whose count over all documents is far above the mean."""
+    cells_, shift = 1 << bits, np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cells, held, waiting = Shingler(k), np.zeros(CELLS, np.int64), [], 0
+        shingler, cells, held, waiting = Shingler(k), np.zeros(cells_, np.int64), [], 0
+
+        def add() -> None:
+            np.add(cells, np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=cells_), out=cells)
+            held.clear()
+
         for b in batches:
             for s in shingler(b.column(0).to_pylist()):
                 held.append(s)
-                if (waiting := waiting + s.size) >= CELLS:
-                    cells += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-                    held, waiting = [], 0
+                if (waiting := waiting + s.size) >= cells_:
+                    add()
+                    waiting = 0
         if held:
-            cells += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+            add()
         if cells.any():
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "counts": [x.tobytes() for x in cells.astype("<i8").reshape(PIECES, -1)]})
 
@@ -163,7 +182,7 @@ def hot_cells(docs: DataFrame, k: int) -> np.ndarray:
         return pd.DataFrame({"piece": [key[0]], "counts": [np.sum([np.frombuffer(x, "<i8") for x in batches["counts"]], axis=0).tobytes()]})
 
     parts = docs.select("text").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInPandas(total, "piece int, counts binary")
-    cells = np.zeros((PIECES, CELLS // PIECES), np.int64)
+    cells = np.zeros((PIECES, cells_ // PIECES), np.int64)
     for r in parts.collect():  # PIECES rows of fixed size
         cells[r["piece"]] = np.frombuffer(r["counts"], "<i8")
     cells = cells.ravel()
@@ -223,16 +242,19 @@ def possible(sizes: np.ndarray, prefixes: list[np.ndarray], ends: np.ndarray, nu
     return np.concatenate((ok.any(axis=1), ok.any(axis=0)))
 
 
-def blocked_links(docs: list[int], sets: list[np.ndarray], num: int, den: int, left: int | None = None) -> list[tuple[int, int]]:
-    """Spanning forest of the links among the sets; with ``left``, only of those between the first ``left`` and the others."""
-    n = len(sets)
+def linked_pairs(sets: list[np.ndarray], num: int, den: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked pairs among the sets, each once; with ``left``, only of those between the first ``left`` and the others."""
     size = np.array([s.size for s in sets], np.int64)
     inter = overlaps(sets, left)
-    split, off = (n, 0) if left is None else (left, left)
+    split, off = (len(sets), 0) if left is None else (left, left)
     link = (den * inter >= num * (size[:split, None] + size[None, off:] - inter)) & (inter > 0)
-    if left is None:
-        link = np.triu(link, 1)
-    parent = list(range(n))
+    i, j = np.nonzero(np.triu(link, 1) if left is None else link)
+    return i, j + off
+
+
+def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of the links between places ``i`` and ``j``."""
+    parent = list(range(len(nodes)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -241,14 +263,25 @@ def blocked_links(docs: list[int], sets: list[np.ndarray], num: int, den: int, l
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(link), strict=True):
-        a, b = root(int(i)), root(int(j) + off)
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = root(p), root(q)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((docs[int(i)], docs[int(j) + off]))
+            out.append((int(nodes[p]), int(nodes[q])))
     return out
 
 
+def counted_here(here: int, hubs: list[tuple[int, ...]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs cluster ``here`` counts: a pair that meets in several clusters counts in the smallest.  ``hubs``: all of a member's, () for this one only."""
+    if not any(hubs):
+        return np.ones(i.size, bool)
+    kinds = {h: n for n, h in enumerate(dict.fromkeys(hubs))}
+    kind, names = np.array([kinds[h] for h in hubs]), list(kinds)
+    pairs, back = np.unique(kind[i] * len(names) + kind[j], return_inverse=True)
+    first = [not names[a] or not names[b] or min(set(names[a]) & set(names[b])) == here for a, b in (divmod(int(x), len(names)) for x in pairs)]
+    return np.array(first, bool)[back]
+
+
 def undominated(seats: DataFrame) -> DataFrame:
     """``seats (hub, group)`` without clusters that lie wholly inside another one, whose pairs meet there anyway.
 
@@ -264,60 +297,6 @@ def undominated(seats: DataFrame) -> DataFrame:
     return seats.join(gone, F.col("hub") == F.col("gone"), "left_anti")
 
 
-def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """One batch of all rows: binary and list columns get 64-bit offsets, as those of 32 bits end at 2 GiB and would leave several chunks."""
-    if len(held) == 1:
-        return held[0]
-    kind = lambda t: pa.large_binary() if pa.types.is_binary(t) else pa.large_list(t.value_type) if pa.types.is_list(t) else t
-    wide = pa.schema([pa.field(f.name, kind(f.type)) for f in held[0].schema])
-    whole = pa.Table.from_batches(held).cast(wide).combine_chunks().to_batches()
-    if len(whole) > 1:
-        raise ValueError("the rows of a group do not fit one batch")
-    return whole[0]
-
-
-def in_groups(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """``kernel`` over each group of ``keys`` (rows in ``order``), many groups a batch.
-
-    Groups are of bounded size here, and most are tiny, so they are cut from sorted batches without a frame for each.
-    """
-    types = pa.schema([(f.split()[0], pa.int64()) for f in schema.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def done(out: list[dict]) -> None:
-            if (found := kernel(joined(held))) is not None:
-                out.append(found)
-            held.clear()
-
-        def packed(out: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(o[c], np.int64) for o in out]), pa.int64()) for c in types.names], schema=types)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            out: list[dict] = []
-            k = np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in keys])
-            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                key = tuple(k[:, s].tolist())
-                if held and key != last:
-                    done(out)
-                held.append(b.slice(s, e - s))
-                last = key
-            if out:
-                yield packed(out)
-        out = []
-        if held:
-            done(out)
-        if out:
-            yield packed(out)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
-
-
 def dealt(seats: DataFrame, who: str, size: str | None = None) -> DataFrame:
     """``hub, who, own, i, j``: seats of each cluster dealt into pairs of blocks of about ``BLOCK``; with ``size``, of about ``BLOCK_SHINGLES`` shingles at most."""
     least = F.count(F.lit(1)) / BLOCK
@@ -330,36 +309,39 @@ def dealt(seats: DataFrame, who: str, size: str | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every distinct doc_id: classes under Jaccard >= num / den of k-word shingles."""
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null")
+    """``doc_id, n_shingles, component_id, n_links`` for every row: classes and numbers of links under Jaccard >= num / den of k-word shingles."""
+    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("t"), docs[text].alias("text"))
     sc = docs.sparkSession.sparkContext
-    hot = sc.broadcast(hot_cells(docs, k))  # CELLS / 8 bytes
+    bits = cell_bits(docs)
+    shift = np.uint64(64 - bits)
+    hot = sc.broadcast(hot_cells(docs, k, bits))  # an eighth of a byte per cell
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, late = Shingler(k), np.unpackbits(hot.value).astype(bool)
-        kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+        kind = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
         for b in batches:
-            rows: dict[str, list] = {c: [] for c in kind.names}
-            for i, s in zip(b.column(0).to_pylist(), shingler(b.column(1).to_pylist()), strict=True):
+            rows: dict[str, list] = {c: [] for c in kind.names[2:]}
+            for s in shingler(b.column(2).to_pylist()):
                 n = s.size
-                is_late = late[(s >> np.uint64(44)).astype(np.int64)]
+                is_late = late[(s >> shift).astype(np.int64)]
                 p = n - -(-num * n // den) + 1 if n else 0
                 first = s[~is_late][:p]
                 if first.size < p:
                     first = np.concatenate((first, s[is_late][: p - first.size]))
-                for c, v in zip(rows, (i, n, *digest(s), *digest(first), first.view(np.int64)), strict=True):
+                for c, v in zip(rows, (n, *digest(s), *digest(first), first.view(np.int64)), strict=True):
                     rows[c].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=kind)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "t": b.column(1), **rows}, schema=kind)
 
-    every = materialize(docs.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"), "prefixes")
-    # One row a document, whatever its rows; equal sets: the smallest doc_id stands for all.
-    slim = materialize(every.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "p1", "p2")).alias("m")).select("doc_id", "m.*"), "documents")
-    sets = materialize(slim.where("n > 0").groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("rep")), "sets")
+    every = materialize(docs.mapInArrow(prefixes, "doc_id long, t long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"), "prefixes")
+    # Equal sets are one node; the row of smallest doc_id, then text hash, lends its text.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    sets = every.where("n > 0").groupBy("n", "s1", "s2", "p1", "p2").agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "p1", "p2", "copies", "rep.doc_id", "rep.t"), "sets")
 
-    # Groups of identical prefix and size, labelled by a one-to-one hash of a doc_id: a spread-out but fixed
+    # Groups of identical prefix and size, labelled by a one-to-one hash of a number: a spread-out but fixed
     # priority keeps hubs few, as the same group tends to lead all shingles of a cluster.
-    group = every.where("n > 0").groupBy("n", "p1", "p2").agg(F.xxhash64(F.min("doc_id")).alias("group"), F.first("prefix").alias("prefix"))
-    group = materialize(group, "groups")
+    group = every.where("n > 0").groupBy("n", "p1", "p2").agg(F.first("prefix").alias("prefix"))
+    group = materialize(group.select(F.xxhash64(F.monotonically_increasing_id()).alias("group"), "n", "p1", "p2", "prefix"), "groups")
     heads = group.select("group", F.explode("prefix").alias("shingle"))
     hubs = heads.groupBy("shingle").agg(F.min("group").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     hubs = materialize(hubs.select("shingle", "hub"), "hubs")
@@ -382,7 +364,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
         made = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
         final = field("final").to_numpy().view(np.uint64)
         # Late shingles follow all others in the global order: half the range each keeps order and fits.
-        ends = (final >> np.uint64(1)) + (late_bits()[(final >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
+        ends = (final >> np.uint64(1)) + (late_bits()[(final >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(63))
         n_left = None if i == j else int(np.count_nonzero(field("own").to_numpy() == i))
         if n_left is not None and not 0 < n_left < b.num_rows:
             return None
@@ -398,44 +380,62 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
     left = in_groups(seated.select("hub", "i", "j", "own", "group", "n", "final", "prefix"), ["hub", "i", "j"], ["own", "group"], sift, "hub long, group long").distinct()
     left = materialize(undominated(materialize(left, "sifted")), "sifted")
     # Members of one group are a pair as well.
-    named = sets.join(group.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).select("group", F.col("rep").alias("doc_id"), "s1", "n")
-    named = materialize(named, "named")
+    named = materialize(sets.join(group.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).select("group", "node", "n"), "named")
     own = named.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("group").alias("hub"), "group")
-    members = left.unionByName(own).distinct().join(named, "group").select("hub", "doc_id", "s1", "n").distinct()
-    members = materialize(members, "seats")
+    members = materialize(left.unionByName(own).distinct().join(named, "group").select("hub", "node", "n").distinct(), "seats")
 
-    seats = dealt(members, "doc_id", "n").withColumnRenamed("doc_id", "d").groupBy("d").agg(F.collect_list(F.struct("hub", "own", "i", "j")).alias("seats"))
-    seats = materialize(seats.join(sets.select(F.col("rep"), F.col("s1")), F.col("d") == F.col("rep")).select("d", "s1", "seats"), "dealt")
-    # Only documents with a seat go on; a merge join at every size.
-    texts = docs.join(seats.hint("merge"), docs["doc_id"] == F.col("d")).select("doc_id", "text", "seats", "s1")
+    seats = dealt(members, "node", "n").withColumnRenamed("node", "d").groupBy("d").agg(F.collect_list(F.struct("hub", "own", "i", "j")).alias("seats"))
+    rep = sets.select("node", "s1", "s2", "copies", F.col("doc_id").alias("rep_id"), F.col("t").alias("rep_t"))
+    seats = materialize(seats.join(rep, F.col("d") == F.col("node")).drop("d"), "dealt")
+    # Only one text of each node with a seat goes on; a merge join, as nodes are of the order of the rows.
+    texts = docs.join(seats.hint("merge"), docs["doc_id"].eqNullSafe(F.col("rep_id")) & (docs["t"] == F.col("rep_t"))).select("text", "node", "s1", "s2", "copies", "seats")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+        shingler, seen = Shingler(k), set()
         for b in batches:
-            made = list(shingler(b.column(1).to_pylist()))
-            # Of a document's different texts, only the one that stands for it.
-            mine = pa.array([digest(s)[0] == d for s, d in zip(made, b.column(3).to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([s.astype("<u8").tobytes() for s in made], pa.binary())], names=["doc_id", "seats", "set"])
+            node, s1, s2 = (b.column(c).to_pylist() for c in (1, 2, 3))
+            # Repeated rows lend a text once.
+            new = [not (n in seen or seen.add(n)) for n in node]
+            b = b.filter(pa.array(new, pa.bool_()))
+            made = list(shingler(b.column(0).to_pylist()))
+            mine = pa.array([digest(s) == (x, y) for s, x, y in zip(made, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            seen.difference_update(n for n, ok in zip(b.column(1).to_pylist(), mine.to_pylist(), strict=True) if not ok)
+            out = pa.RecordBatch.from_arrays([b.column(1), b.column(4), b.column(5), pa.array([s.astype("<u8").tobytes() for s in made], pa.binary())], names=["node", "copies", "seats", "set"])
             yield out.filter(mine)
 
-    verified = texts.mapInArrow(whole, "doc_id long, seats array<struct<hub:long,own:int,i:int,j:int>>, set binary").select("doc_id", "set", F.inline("seats"))
+    verified = texts.mapInArrow(whole, "node long, copies long, seats array<struct<hub:long,own:int,i:int,j:int>>, set binary")
+    several = F.array_sort(F.array_distinct(F.transform("seats", lambda s: s["hub"])))
+    verified = verified.withColumn("hubs", F.when(F.size(several) > 1, several).otherwise(F.array().cast("array<bigint>"))).select("node", "copies", "set", "hubs", F.inline("seats"))
 
     def compare(b: pa.RecordBatch) -> dict | None:
         field = lambda c: b.column(b.schema.get_field_index(c))
-        docs_, own = field("doc_id").to_numpy(), field("own").to_numpy()
-        once = np.append(True, (docs_[1:] != docs_[:-1]) | (own[1:] != own[:-1]))  # repeated rows of a document
-        docs_, own = docs_[once], own[once]
+        nodes, own = field("node").to_numpy(), field("own").to_numpy()
+        once = np.append(True, (nodes[1:] != nodes[:-1]) | (own[1:] != own[:-1]))  # repeated rows of a node
+        nodes, own, copies = nodes[once], own[once], field("copies").to_numpy()[once]
         made = [np.frombuffer(x, "<u8") for x, o in zip(field("set").to_pylist(), once.tolist(), strict=True) if o]
         i, j = field("i")[0].as_py(), field("j")[0].as_py()
         n_left = None if i == j else int(np.count_nonzero(own == i))
         if len(made) < 2 or (n_left is not None and not 0 < n_left < len(made)):
             return None
-        found = blocked_links(docs_.tolist(), made, num, den, n_left)
-        return {"a": [f[0] for f in found], "b": [f[1] for f in found]} if found else None
-
-    links = materialize(in_groups(verified.select("hub", "i", "j", "own", "doc_id", "set"), ["hub", "i", "j"], ["own", "doc_id"], compare, "a long, b long"), "found")
-    linked = materialize(components(links), "components")
-    # The component of a set is its smallest representative, hence the smallest doc_id.
-    ids = slim.where("n > 0").join(sets.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
-    ids = ids.join(linked, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return ids.unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        p, q = linked_pairs(made, num, den, n_left)
+        if not p.size:
+            return None
+        ties = forest(nodes, p, q)
+        hubs = [tuple(h) for h, o in zip(field("hubs").to_pylist(), once.tolist(), strict=True) if o]
+        mine = counted_here(field("hub")[0].as_py(), hubs, p, q)
+        n = np.zeros(nodes.size, np.int64)
+        np.add.at(n, p[mine], copies[q[mine]])
+        np.add.at(n, q[mine], copies[p[mine]])
+        some = np.flatnonzero(n)
+        return {"a": [t[0] for t in ties] + nodes[some].tolist(), "b": [t[1] for t in ties] + nodes[some].tolist(), "n": [0] * len(ties) + n[some].tolist()}
+
+    found = in_groups(verified.select("hub", "i", "j", "own", "node", "copies", "set", "hubs"), ["hub", "i", "j"], ["own", "node"], compare, "a long, b long, n long")
+    found = materialize(found, "found")
+    linked = materialize(components(found.where("n = 0").select("a", "b")), "components")
+    classes = linked.join(sets.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = linked.join(classes, "component").select(F.col("node").alias("c"), "least")
+    links = found.where("n > 0").groupBy(F.col("a").alias("l")).agg(F.sum("n").alias("links"))
+    facts = sets.join(named, F.col("node") == F.col("c"), "left").join(links, F.col("node") == F.col("l"), "left")
+    facts = facts.select("n", "s1", "s2", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    ids = every.select("doc_id", "n", "s1", "s2").join(materialize(facts, "classes"), ["n", "s1", "s2"], "left")
+    return ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))

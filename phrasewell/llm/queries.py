@@ -159,7 +159,7 @@ SELECT vec_id, (SELECT count(*) FROM near WHERE a = vec_id) AS n_links, coalesce
 g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
 links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.c + q.c - i)), {REACH}
-SELECT w.doc_id, coalesce(c0.c, 0) AS n_shingles, coalesce(s.c, w.doc_id) AS component_id FROM w LEFT JOIN n c0 ON c0.doc_id = w.doc_id LEFT JOIN smallest s ON s.n = w.doc_id""",
+SELECT w.doc_id, coalesce(c0.c, 0) AS n_shingles, coalesce(s.c, w.doc_id) AS component_id, (SELECT count(*) FROM near WHERE a = w.doc_id) AS n_links FROM w LEFT JOIN n c0 ON c0.doc_id = w.doc_id LEFT JOIN smallest s ON s.n = w.doc_id""",
     "op8_line_dedup": lambda: line_sql(30),
     "op10_sharding": lambda: f"""WITH h AS (SELECT doc_id, coalesce(strlen(text), 0) AS bytes, ('0x' || left(md5(doc_id || chr(31) || md5(coalesce(text, ''))), 15))::BIGINT AS h FROM documents),
 d AS (SELECT doc_id, bytes, h, d, h >> (60 - d) AS p FROM h, range(0, 31) r(d)),

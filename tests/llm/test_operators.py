@@ -201,14 +201,50 @@ def test_jaccard_join(spark, docs, empty, k, num, den, block, monkeypatch):
     sets = {i: shingle_set(t, k) for i, t in rows}
     want = classes(sets, num, den)
     assert {i: got[i].component_id for i in got} == want and {i: got[i].n_shingles for i in got} == {i: len(s) for i, s in sets.items()}
+    assert Counter(map(tuple, got.values())) == jaccard_rows(rows, k, num, den)
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def jaccard_rows(rows, k, num, den):
+    """(doc_id, set size, smallest id of the class, links) of each row, all pairs compared."""
+    sets = {r: shingle_set(t, k) for r, (_, t) in enumerate(rows)}
+    of, links = classes(sets, num, den), Counter()
+    for a, b in itertools.combinations(sets, 2):
+        i = len(sets[a] & sets[b])
+        if i and den * i >= num * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
+    least = {c: min((rows[r][0] for r in sets if of[r] == c and rows[r][0] is not None), default=None) for c in set(of.values())}
+    return Counter((rows[r][0], len(sets[r]), least[of[r]], links[r]) for r in sets)
+
+
 def test_jaccard_repeated_and_null_ids(spark):
-    t, u = sentence(1), sentence(2)
-    df = spark.createDataFrame([(1, t), (1, t), (2, t), (3, u), (3, t + " a"), (None, t)], "doc_id long, text string")
-    got = sorted(map(tuple, jaccard_join.near_duplicates(df, 4, 85, 100).collect()))
-    assert [g[0] for g in got] == [1, 2, 3] and got[0][2] == got[1][2] == 1
+    t, u, v = sentence(1), sentence(2), sentence(3)
+    rows = [(1, t), (1, t), (2, t), (3, u), (3, t + " a"), (None, t), (None, u + " b"), (None, v), (None, v), (None, None), (4, "")] + [(7, v + " c")] * 40
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85, 100)
+    assert Counter(map(tuple, got.collect())) == jaccard_rows(rows, 4, 85, 100)
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_jaccard_on_few_words(spark, k):
+    long = " ".join(f"w{i}" for i in range(250_000))
+    tables = [["two words"], ["one"], ["a b c", "a b c"], ["one", "two words", "three short words", "two words"], [long, "two words", long, "one", "a b c", None, long + " end"]]
+    for table in tables:
+        rows = list(enumerate(table))
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), k, 8, 10)
+        assert Counter(map(tuple, got.collect())) == jaccard_rows(rows, k, 8, 10)
+
+
+def test_long_words_do_not_collide_by_construction():
+    words = [[0]]
+    for _ in range(13):
+        words.append(words[-1] + [1 - x for x in words[-1]])
+    shingler = jaccard_join.Shingler(1)
+    for w in words[5:]:
+        for a, b in ((b"a", b"b"), (b"a" * 64, b"b" * 64), (b"ab" * 32, b"ba" * 32)):
+            one, other = b"".join((a, b)[x] for x in w), b"".join((b, a)[x] for x in w)
+            h, start = shingler.words(np.frombuffer(one + b" " + other + b" " + one, np.uint8))
+            assert start.size == 3 and h[0] == h[2] != h[1]
 
 
 def test_batches_of_a_group_are_joined_whole():
