@@ -5,21 +5,22 @@ A run is a stretch of consecutive lines (blank lines aside) with at least
 line, at an earlier place is deleted; places are ordered by doc_id (null last),
 text hash and line.  The first copy of a run always stays.
 
-1. Each text is cut into minimal windows: from every line forwards, and from
-   every line backwards, the fewest lines that reach ``min_words``.  Any repeated run
-   is covered by windows that lie inside it, so windows decide exactly.
-2. The minimum line hash of a window is its fingerprint.  Equal windows have
-   equal fingerprints, so only fingerprints found at two places are followed up.
-3. From each of those the match is extended both ways: all windows around it
-   are looked up by a 128-bit hash of their lines, and windows with an
-   earlier place are hits.  The union of hits is what goes.
-
-Hot fingerprints and windows are reduced to their first and last place by
+1. Winnowing.  A window is a stretch of lines with ``min_words`` words from which neither end line can be spared.
+   The least line hash of each window is selected as its fingerprint (the first one of equals), so a repeated
+   run, which holds a window, always shares a fingerprint with its earlier copy.
+2. Positions are joined: only fingerprints found at two places are followed, and a
+   window there matches if its lines also stand at an earlier place.
+3. Matches are extended both ways, line by line, as long as the longer run
+   stands at an earlier place too, up to where the next window takes over.
+   Later runs go: the lines of matched windows and of their extensions.
+
+Lines, windows and extended runs are compared by 128-bit hash.  Hot fingerprints and windows are reduced to their first and last place by
 partial aggregation before any shuffle, so no task collects their places, and no pairs are made.
 
 Null text counts as empty.  Rows equal in doc_id and text are one document and
-stay alike.  Texts with fewer than ``min_words`` words are unchanged.  An empty table gives an
-empty result.  Other columns, null or not, pass through.
+stay alike.  Texts with fewer than ``min_words`` words are unchanged; very long texts are cut whole.  Ties: places are
+ordered by doc_id, text hash and line.  An empty table gives an
+empty result.  Other columns, null or not, pass through; one named like the result's is replaced.
 
 Passages that start or end within a line are a second pass, :func:`dedup_passages`: runs of words, whatever their lines.
 """
@@ -39,56 +40,97 @@ LOW = -(6 << 60)
 
 
 def _reach(n: Column, least: int) -> Column:
-    """How many leading elements of the array ``n`` it takes to sum up to ``least``; 0 if all do not."""
+    """``sum, len``: the fewest leading elements of the array ``n`` that sum up to ``least``, or all."""
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("len"))
-    step = lambda a, x: F.when(a["sum"] >= least, a).otherwise(F.struct((a["sum"] + x).alias("sum"), (a["len"] + 1).alias("len")))
-    return F.aggregate(n, start, step, lambda a: F.when(a["sum"] >= least, a["len"]).otherwise(0))
+    return F.aggregate(n, start, lambda a, x: F.when(a["sum"] >= least, a).otherwise(F.struct((a["sum"] + x).alias("sum"), (a["len"] + 1).alias("len"))))
+
+
+def _room(n: Column, spent: Column, most: int) -> Column:
+    """How many leading elements of the array ``n`` can follow ``spent`` with a sum below ``most``."""
+    start = F.struct(spent.cast("int").alias("sum"), F.lit(0).alias("len"))
+    return F.aggregate(n, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.when(a["sum"] + x < most, a["len"] + 1).otherwise(a["len"]).alias("len")), lambda a: a["len"])
 
 
 def windows(text: Column, min_words: int) -> Column:
-    """Array of the minimal windows of a text: ``lines`` (line numbers), ``fp``, ``at`` (line of the fingerprint), ``k1``, ``k2``."""
+    """Array of the windows of a text: ``fp``, ``at`` (line of the fingerprint), and the line numbers ``lines`` and line hashes ``h1``, ``h2``
+    of the window's ``size`` lines with the ``before`` lines ahead of them and the lines behind them that an extension may reach."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     unit = lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), F.btrim(x, F.lit(" \t\r\x0b\x0c")).alias("x"))
     units = F.filter(F.transform(lines, unit), lambda u: u["n"] > 0)
     hashed = lambda us: F.struct(us["i"].alias("i"), us["n"].alias("n"), F.transform(us, lambda u: F.xxhash64(u["x"])).alias("h1"), F.transform(us, lambda u: F.xxhash64(F.lit(7), u["x"])).alias("h2"))
+    w = min_words
 
     def cut(u: Column) -> Column:
-        w = min_words
-        one = F.struct
-        forwards = F.transform(u["n"], lambda x, i: one(i.alias("s"), F.when(x >= w, 1).otherwise(_reach(F.slice(u["n"], i + 1, w), w)).alias("l")))
-        back = lambda x, i: F.when(x >= w, 1).otherwise(_reach(F.reverse(F.slice(u["n"], F.greatest(F.lit(1), i + 2 - w), F.least(F.lit(w), i + 1))), w))
-        backwards = F.transform(F.transform(u["n"], back), lambda l, i: one((i + 1 - l).alias("s"), l.alias("l")))
-        spans = F.array_distinct(F.concat(forwards, F.filter(backwards, lambda b: b["l"] > 1)))
+        n = u["n"]
+        first = F.transform(n, lambda x, s: F.struct(s.alias("s"), x.alias("x"), _reach(F.slice(n, s + 1, w), w).alias("r")))
+        whole = F.filter(first, lambda f: (f["r"]["sum"] >= w) & (f["r"]["sum"] - f["x"] < w))
+
+        def made(f: Column) -> Column:
+            s, size, total = f["s"], f["r"]["len"], f["r"]["sum"]
+            ahead = F.reverse(F.slice(n, F.greatest(F.lit(1), s + 1 - w), F.least(F.lit(w), s)))
+            before = _room(ahead, total - F.get(n, s + size - 1), w)
+            behind = _room(F.slice(n, s + size + 1, w), total - f["x"], w)
+            return F.struct(s.alias("s"), size.alias("size"), before.alias("before"), (before + size + behind).alias("all"))
+
+        def named(x: Column) -> Column:
+            own = F.slice(u["h1"], x["s"] + 1, x["size"])
+            least = F.array_min(own)
+            part = lambda c: F.slice(u[c], x["s"] - x["before"] + 1, x["all"])
+            at = F.get(u["i"], (x["s"] + F.array_position(own, least) - 1).cast("int"))
+            return F.struct(least.alias("fp"), at.alias("at"), x["before"].alias("before"), x["size"].alias("size"), part("i").alias("lines"), part("h1").alias("h1"), part("h2").alias("h2"))
+
+        return F.transform(F.transform(whole, made), named)
 
-        def made(x: Column) -> Column:
-            h1 = F.slice(u["h1"], x["s"] + 1, x["l"])
-            least = F.array_min(h1)
-            return F.struct(F.slice(u["i"], x["s"] + 1, x["l"]).alias("lines"), least.alias("fp"), F.get(u["i"], (x["s"] + F.array_position(h1, least) - 1).cast("int")).alias("at"), F.xxhash64(h1).alias("k1"), F.xxhash64(F.slice(u["h2"], x["s"] + 1, x["l"])).alias("k2"))
+    return let(let(units, hashed), cut)
 
-        return F.transform(F.filter(spans, lambda x: x["l"] > 0), made)
 
-    return let(let(units, hashed), cut)
+def _keys(start: Column, size: Column) -> tuple[Column, Column]:
+    """128-bit hash, in two columns, of ``size`` lines of a window's row from place ``start`` on."""
+    return F.xxhash64(F.slice("h1", start + 1, size)), F.xxhash64(F.slice("h2", start + 1, size))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, th, gone``: for each document that loses lines, their numbers from 0, ascending (``th``: hash of the text)."""
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", extend: bool = True) -> DataFrame:
+    """``id, th, gone``: for each document that loses lines, their numbers from 0, ascending (``th``: hash of the text).
+
+    ``extend=False`` leaves out step 3, for comparison.
+    """
     th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    found = docs.select(docs[doc_id].alias("id"), th.alias("th"), F.inline(windows(docs[text], min_words)))
-    found = materialize(found, "line-windows")
+    found = materialize(docs.select(docs[doc_id].alias("id"), th.alias("th"), F.inline(windows(docs[text], min_words))), "line-windows")
 
     def place(line: Column) -> Column:
         return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("th").alias("th"), line.alias("line"))
 
-    # Fingerprints at two places or more.
-    spread = found.groupBy("fp").agg(F.min(place(F.col("at"))).alias("first"), F.max(place(F.col("at"))).alias("last"))
-    spread = materialize(spread.where(~F.col("first").eqNullSafe(F.col("last"))).select("fp"), "line-fingerprints")
-    followed = materialize(found.join(spread, "fp", "left_semi").select("id", "th", "lines", "k1", "k2"), "line-matches")
-
-    here = place(F.element_at("lines", 1))
-    first = followed.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last"))
-    first = materialize(first.where(~F.col("first").eqNullSafe(F.col("last"))).select("k1", "k2", "first"), "line-firsts")
-    later = followed.join(first, ["k1", "k2"]).where(~here.eqNullSafe(F.col("first")))
-    return later.groupBy("id", "th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("gone"))
+    def firsts(rows: DataFrame, at: Column, *keys: str) -> DataFrame:
+        """First places of keys that stand at two places or more."""
+        seen = rows.groupBy(*keys).agg(F.min(place(at)).alias("first"), F.max(place(at)).alias("last"))
+        return seen.where(~F.col("first").eqNullSafe(F.col("last"))).select(*keys, "first")
+
+    spread = materialize(firsts(found, F.col("at"), "fp").select("fp"), "line-fingerprints")
+    k1, k2 = _keys(F.col("before"), F.col("size"))
+    followed = found.join(spread, "fp", "left_semi").withColumns({"k1": k1, "k2": k2}).drop("fp", "at")
+    followed = materialize(followed, "line-positions")
+
+    start = F.get("lines", F.col("before"))
+    matched = materialize(firsts(followed, start, "k1", "k2"), "line-matches")
+    seeds = materialize(followed.join(matched, ["k1", "k2"]), "line-seeds")
+    later = seeds.where(~place(start).eqNullSafe(F.col("first")))
+    gone = later.select("id", "th", F.explode(F.slice("lines", F.col("before") + 1, F.col("size"))).alias("line"))
+    if extend:
+        before, behind = F.col("before"), F.size("lines") - F.col("before") - F.col("size")
+        none = F.array().cast("array<int>")
+        # Each step is the run from the window to the step's line, the line it adds, and the run's first line.
+        left = F.transform(F.when(before > 0, F.sequence(F.lit(1), before)).otherwise(none), lambda j: _step(before - j, F.col("size") + j, before - j))
+        right = F.transform(F.when(behind > 0, F.sequence(F.lit(1), behind)).otherwise(none), lambda j: _step(before, F.col("size") + j, before + F.col("size") + j - 1))
+        steps = materialize(seeds.select("id", "th", F.inline(F.concat(left, right))), "line-steps")
+        again = materialize(firsts(steps, F.col("start"), "k1", "k2"), "line-step-matches")
+        further = steps.join(again, ["k1", "k2"]).where(~place(F.col("start")).eqNullSafe(F.col("first")))
+        gone = gone.unionByName(further.select("id", "th", "line"))
+    return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+
+
+def _step(start: Column, size: Column, line: Column) -> Column:
+    k1, k2 = _keys(start, size)
+    return F.struct(k1.alias("k1"), k2.alias("k2"), F.get("lines", start).alias("start"), F.get("lines", line).alias("line"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", gone: str = "removed_lines") -> DataFrame:
@@ -97,8 +139,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     hits = materialize(repeated_lines(docs, min_words, doc_id, text), "line-gone")
     hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    # A merge join at every size: texts move once, whatever the number of hits.
-    both = docs.join(hits.hint("merge"), docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
+    # Ids and line numbers move; whether texts must move as well is left to the size of the hits.
+    both = docs.join(hits, docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
     lines = F.split(docs[text], "\n")
     stay = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: F.get(ls, i)), "\n")
     new = F.when(F.col("__gone").isNull(), docs[text]).otherwise(let(lines, stay))
@@ -173,7 +215,7 @@ def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, doc_id: str =
     seats = found.join(spread, "fp", "left_semi").groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("lo", "hi")).alias("__seats"))
     seats = materialize(seats, "anchor-seats")
 
-    both = docs.join(seats.hint("merge"), docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")))
+    both = docs.join(seats, docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")))
 
     def keys(w: Column) -> Column:
         pair = F.struct(_hashes(w, 1).alias("a"), _hashes(w, 7).alias("b"))
@@ -200,7 +242,7 @@ def dedup_passages(docs: DataFrame, size: int = PASSAGE_WORDS, doc_id: str = "do
     hits = materialize(repeated_passages(docs, size, doc_id, text), "passage-gone")
     hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__out"))
     th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    both = docs.join(hits.hint("merge"), docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
+    both = docs.join(hits, docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
 
     def stay(w: Column) -> Column:
         numbers = F.col("__out")

@@ -108,6 +108,35 @@ def test_line_dedup(docs, empty, least):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_on_many_short_lines(spark):
+    """Runs of lines of few words, and of short lines next to long ones, that repeat at many places."""
+    rng = np.random.default_rng(12)
+    pool = [" ".join(rng.choice(list("abcdef"), int(rng.integers(1, 13)))) for _ in range(14)]
+    rows = [(i, "\n".join(rng.choice(pool, int(rng.integers(1, 30))))) for i in range(60)]
+    block = [sentence(900 + j, [3, 25, 6, 3, 2, 28, 1, 4][j % 8]) for j in range(12)]
+    for i in range(40):
+        a, b = sorted(rng.integers(0, 13, 2).tolist())
+        rows.append((60 + i, "\n".join([sentence(1000 + i, 3), *block[a:b], sentence(2000 + i, 9)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for least in (5, 13, 30):
+        want = gone_lines(rows, least)
+        got = {r.id: list(r.gone) for r in line_dedup.repeated_lines(df, least).collect()}
+        assert got == {i: g for i, g in want.items() if g}
+    # Without extension the lines next to windows stay.
+    short = {r.id: list(r.gone) for r in line_dedup.repeated_lines(df, 30, extend=False).collect()}
+    assert short != got and all(set(g) <= set(got[i]) for i, g in short.items())
+
+
+def test_windows_are_minimal_and_fewer_than_lines(spark):
+    text = "\n".join(sentence(i, 4 + i % 9) for i in range(50))
+    row = spark.createDataFrame([(text,)], "text string").select(line_dedup.windows(F.col("text"), 30).alias("w")).first().w
+    n = [4 + i % 9 for i in range(50)]
+    for w in row:
+        own = w.lines[w.before : w.before + w.size]
+        assert sum(n[i] for i in own) >= 30 > max(sum(n[i] for i in own[1:]), sum(n[i] for i in own[:-1])) and w.at in own
+    assert 0 < len(row) < 50
+
+
 def test_line_dedup_repeated_and_null_ids(spark):
     run = sentence(5, 40)
     df = spark.createDataFrame([(1, run), (1, run), (None, run), (2, "x\n" + run)], "doc_id long, text string")
