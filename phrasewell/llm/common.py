@@ -73,6 +73,24 @@ def drop_scratch(spark: SparkSession, owner: str = "") -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Words of 64 bits in a sieve, at most: the bound of what is broadcast (rows of two longs).
+SIEVE_WORDS = 1 << 18
+
+
+def sieved(docs: DataFrame, key: Column, wanted: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with the boolean ``__maybe``: false only if no row of ``wanted`` has the long ``key`` (its hash of the columns ``names``).
+
+    A bitmap of at most ``SIEVE_WORDS`` words is broadcast, so rows that a join would not touch need not move,
+    whatever the size of ``wanted``; a full bitmap lets all rows through.
+    """
+    slot = lambda c: F.pmod(c, F.lit(64 * SIEVE_WORDS))
+    marks = wanted.select(slot(F.xxhash64(*names)).alias("s")).select(F.shiftright("s", 6).alias("__word"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("bit"))
+    marks = materialize(marks.groupBy("__word").agg(F.bit_or("bit").alias("__mask")), "sieve")
+    out = docs.withColumn("__slot", slot(key)).join(F.broadcast(marks), F.shiftright("__slot", 6) == F.col("__word"), "left")
+    bit = F.getbit(F.col("__mask"), F.col("__slot").bitwiseAND(F.lit(63)).cast("int")) == 1
+    return out.withColumn("__maybe", F.coalesce(bit, F.lit(False))).drop("__slot", "__word", "__mask")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body's lambdas use it."""
     return F.transform(F.array(value), body)[0]

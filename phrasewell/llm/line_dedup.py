@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, sieved
 
 MIN_WORDS = 30
 #: Words of a passage within lines, at least.
@@ -137,14 +137,24 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     """``docs`` with later repeated runs deleted from ``text``, and the array column ``gone`` of the deleted line numbers."""
     names = [c for c in docs.columns if c != gone]
     hits = materialize(repeated_lines(docs, min_words, doc_id, text), "line-gone")
-    hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    # Ids and line numbers move; whether texts must move as well is left to the size of the hits.
-    both = docs.join(hits, docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
     lines = F.split(docs[text], "\n")
     stay = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: F.get(ls, i)), "\n")
-    new = F.when(F.col("__gone").isNull(), docs[text]).otherwise(let(lines, stay))
-    return both.select(*(new.alias(c) if c == text else docs[c] for c in names), F.coalesce(F.col("__gone"), F.array().cast("array<int>")).alias(gone))
+    return _changed(docs.select(*names), hits, doc_id, text, gone, let(lines, stay))
+
+
+def _changed(docs: DataFrame, hits: DataFrame, doc_id: str, text: str, gone: str, new: Column) -> DataFrame:
+    """``docs`` with ``new`` (of the array ``__gone``) for the texts of ``hits (id, th, gone)``, and the array column ``gone``.
+
+    Only texts that change move: a sieve keeps the others in place.  Those and the hits are the same documents, so both sides of the join are shuffled.
+    """
+    names = docs.columns
+    th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    marked = sieved(docs.withColumn("__h", th), F.xxhash64(docs[doc_id], th), hits, "id", "th")
+    hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    moved = marked.where("__maybe").join(hits.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    none = F.array().cast("array<int>")
+    moved = moved.select(*(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(new).alias(c) if c == text else F.col(c) for c in names), F.coalesce(F.col("__gone"), none).alias(gone))
+    return marked.where(~F.col("__maybe")).select(*names, none.alias(gone)).unionByName(moved)
 
 
 def _words(text: Column) -> Column:
@@ -215,14 +225,15 @@ def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, doc_id: str =
     seats = found.join(spread, "fp", "left_semi").groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("lo", "hi")).alias("__seats"))
     seats = materialize(seats, "anchor-seats")
 
-    both = docs.join(seats, docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")))
+    marked = sieved(docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), th.alias("th")), F.xxhash64(docs[doc_id], th), seats, "__id", "__th")
+    both = marked.where("__maybe").join(seats.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
 
     def keys(w: Column) -> Column:
         pair = F.struct(_hashes(w, 1).alias("a"), _hashes(w, 7).alias("b"))
         each = lambda h: F.transform(F.flatten(F.transform("__seats", lambda s: F.sequence(s["lo"], s["hi"]))), lambda s: F.struct(s.alias("at"), F.xxhash64(F.slice(h["a"], s + 1, size)).alias("k1"), F.xxhash64(F.slice(h["b"], s + 1, size)).alias("k2")))
         return let(pair, each)
 
-    windows_ = both.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.inline(let(_words(docs[text]), keys)))
+    windows_ = both.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.inline(let(_words(F.col("text")), keys)))
     windows_ = materialize(windows_, "passage-windows")
     here = place(F.col("at"))
     first = windows_.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last"))
@@ -240,12 +251,9 @@ def dedup_passages(docs: DataFrame, size: int = PASSAGE_WORDS, doc_id: str = "do
     """
     names = [c for c in docs.columns if c != gone]
     hits = materialize(repeated_passages(docs, size, doc_id, text), "passage-gone")
-    hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__out"))
-    th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    both = docs.join(hits, docs[doc_id].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
 
     def stay(w: Column) -> Column:
-        numbers = F.col("__out")
+        numbers = F.col("__gone")
         # Ends of deleted runs that end a line.
         last = F.transform(numbers, lambda x, k: F.when((F.coalesce(F.get(numbers, k + 1), F.lit(-1)) != x + 1) & F.contains(F.get(w, x), F.lit("\n")), x))
         kept = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), numbers)
@@ -253,5 +261,4 @@ def dedup_passages(docs: DataFrame, size: int = PASSAGE_WORDS, doc_id: str = "do
         return F.array_join(F.array_sort(parts)["x"], "")
 
     head = F.regexp_extract(docs[text], r"^[\x20\x09-\x0D]*", 0)
-    new = F.when(F.col("__out").isNull(), docs[text]).otherwise(F.concat(head, let(_words(docs[text]), stay)))
-    return both.select(*(new.alias(c) if c == text else docs[c] for c in names), F.coalesce(F.col("__out"), F.array().cast("array<int>")).alias(gone))
+    return _changed(docs.select(*names), hits, doc_id, text, gone, F.concat(head, let(_words(docs[text]), stay)))
