@@ -138,22 +138,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     names = [c for c in docs.columns if c != gone]
     hits = materialize(repeated_lines(docs, min_words, doc_id, text), "line-gone")
     lines = F.split(docs[text], "\n")
-    stay = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: F.get(ls, i)), "\n")
+    stay = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__cut")), lambda i: F.get(ls, i)), "\n")
     return _changed(docs.select(*names), hits, doc_id, text, gone, let(lines, stay))
 
 
 def _changed(docs: DataFrame, hits: DataFrame, doc_id: str, text: str, gone: str, new: Column) -> DataFrame:
-    """``docs`` with ``new`` (of the array ``__gone``) for the texts of ``hits (id, th, gone)``, and the array column ``gone``.
+    """``docs`` with ``new`` (of the array ``__cut``) for the texts of ``hits (id, th, gone)``, and the array column ``gone``.
 
     Only texts that change move: a sieve keeps the others in place.  Those and the hits are the same documents, so both sides of the join are shuffled.
     """
     names = docs.columns
     th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    marked = sieved(docs.withColumn("__h", th), F.xxhash64(docs[doc_id], th), hits, "id", "th")
-    hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    marked = sieved(docs.withColumn("__h", th), F.xxhash64(F.col(doc_id), F.col("__h")), hits, "id", "th")
+    hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__cut"))
     moved = marked.where("__maybe").join(hits.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     none = F.array().cast("array<int>")
-    moved = moved.select(*(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(new).alias(c) if c == text else F.col(c) for c in names), F.coalesce(F.col("__gone"), none).alias(gone))
+    moved = moved.select(*(F.when(F.col("__cut").isNull(), F.col(c)).otherwise(new).alias(c) if c == text else F.col(c) for c in names), F.coalesce(F.col("__cut"), none).alias(gone))
     return marked.where(~F.col("__maybe")).select(*names, none.alias(gone)).unionByName(moved)
 
 
@@ -225,7 +225,7 @@ def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, doc_id: str =
     seats = found.join(spread, "fp", "left_semi").groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("lo", "hi")).alias("__seats"))
     seats = materialize(seats, "anchor-seats")
 
-    marked = sieved(docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), th.alias("th")), F.xxhash64(docs[doc_id], th), seats, "__id", "__th")
+    marked = sieved(docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), th.alias("th")), F.xxhash64("id", "th"), seats, "__id", "__th")
     both = marked.where("__maybe").join(seats.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
 
     def keys(w: Column) -> Column:
@@ -253,7 +253,7 @@ def dedup_passages(docs: DataFrame, size: int = PASSAGE_WORDS, doc_id: str = "do
     hits = materialize(repeated_passages(docs, size, doc_id, text), "passage-gone")
 
     def stay(w: Column) -> Column:
-        numbers = F.col("__gone")
+        numbers = F.col("__cut")
         # Ends of deleted runs that end a line.
         last = F.transform(numbers, lambda x, k: F.when((F.coalesce(F.get(numbers, k + 1), F.lit(-1)) != x + 1) & F.contains(F.get(w, x), F.lit("\n")), x))
         kept = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), numbers)

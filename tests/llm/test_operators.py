@@ -438,10 +438,19 @@ def test_sharding(spark, docs, empty, limit):
 
 
 def test_write_shards(spark, tmp_path):
-    df = spark.createDataFrame([(i, sentence(i)) for i in range(40)], "doc_id long, text string")
-    sharding.write_shards(df, str(tmp_path / "s"), 1000)
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert sorted(map(tuple, back.select("doc_id", "text").collect())) == sorted(map(tuple, df.collect()))
+    rows = [(i, sentence(i), "k") for i in range(40)] + [(50, "same text", "x")] * 200 + [(7, "other text of an id", None), (7, "a third text of it", None), (None, None, "n"), (None, "no id", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string").repartition(5)
+    sharding.write_shards(df, str(tmp_path / "s"), 300)
+    back = spark.read.option("basePath", str(tmp_path / "s")).parquet(str(tmp_path / "s")).withColumn("_shard", F.col("_shard").cast("string")).collect()
+    assert Counter((r.doc_id, r.text, r.hash) for r in back) == Counter(rows)
+    load = Counter()
+    for r in back:
+        load[r._shard] += len((r.text or "").encode())
+    assert max(load.values()) <= 300 and len(load) > 5
+    sharding.write_shards(df, str(tmp_path / "one"), 10**9)
+    assert spark.read.parquet(str(tmp_path / "one")).count() == len(rows)
+    with pytest.raises(ValueError):
+        sharding.write_shards(df.withColumn("_shard", F.lit(1)), str(tmp_path / "no"), 300)
 
 
 # 9 ------------------------------------------------------------------------
