@@ -8,7 +8,9 @@ bytes) sums, so texts are read once and never shuffled.
 * A single row above the limit becomes a shard of its own once no other row shares its bits.
 * Rows that agree in all ``MAX_BITS`` bits (repeated rows) can't be split by
   hashing: they are dealt to numbered overflow shards that each fit the limit.
-* Null or empty texts have 0 bytes.  Any column may be null.  An empty table gives an empty result.
+* Null or empty texts have 0 bytes; very long texts are measured whole.  Any column may be null.  An empty table gives an empty result.
+* Writing carries each row's own shard to its file, so rows that repeat, or share a doc_id, are written once each.
+  Only a column named ``_shard`` is taken: it becomes the folder, and an input column of that name is an error.
 """
 
 from __future__ import annotations
@@ -66,39 +68,64 @@ def directory(sums: DataFrame, limit: int) -> DataFrame:
     return out
 
 
+def _sums(rows: DataFrame) -> DataFrame:
+    return materialize(rows.groupBy("__hash").agg(F.sum("__bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).withColumnRenamed("__hash", "hash"), "shard-sums")
+
+
+def _measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    size = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long")
+    return docs.withColumns({"__bytes": size, "__hash": key_hash(docs[doc_id], F.md5(F.coalesce(docs[text], F.lit(""))))})
+
+
+def _placed(rows: DataFrame, sums: DataFrame, leaves: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (with ``__bytes`` and ``__hash``) and the shard of each: ``__shard, __depth, __shard_bytes``.
+
+    Rows stand on the larger side of each join; they move only where the directory is too large to be sent.
+    """
+    names = [c for c in rows.columns if c != "__hash"]
+    depths = [r["depth"] for r in leaves.select("depth").distinct().collect()]  # 60 at most
+    leaves = leaves.select(F.col("prefix").alias("__prefix"), F.col("depth").alias("__depth"), F.col("shard_bytes").alias("__shard_bytes"))
+    # The leaf of a hash: prefixes of leaves are disjoint, so exactly one (depth, prefix) matches.  Hashes, not rows, are repeated for each depth.
+    at = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.shiftright("hash", MAX_BITS - d).alias("p")) for d in sorted(depths or [0]))))
+    of = sums.withColumn("__at", at).join(leaves, (F.col("__at.d") == F.col("__depth")) & (F.col("__at.p") == F.col("__prefix")))
+    bits = F.when(F.col("__depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("__prefix"), F.col("__depth"), "0"))
+    over = (F.col("n") > 1) & (F.col("bytes") > limit)
+    of = materialize(of.select(F.col("hash").alias("__h"), bits.alias("__shard"), "__depth", "__shard_bytes", F.when(over, F.col("n")).alias("__n")), "shard-of")
+    rows = rows.join(of, F.col("__hash") == F.col("__h"))
+    whole = rows.where("__n is null").select(*names, "__shard", "__depth", "__shard_bytes")
+
+    # Rows that one hash can't keep within the limit: equal in bytes, numbered by their partition's offset and their place there.
+    part = rows.where("__n is not null").withColumn("__part", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id())
+    part = materialize(part, "overflow")
+    offset = part.groupBy("__h", "__part").agg(F.count(F.lit(1)).alias("c"))
+    offset = offset.withColumn("__skip", F.sum("c").over(Window.partitionBy("__h").orderBy("__part")) - F.col("c")).select(F.col("__h").alias("__oh"), F.col("__part").alias("__op"), "__skip")
+    number = F.row_number().over(Window.partitionBy("__h", "__part").orderBy("__mono")) - 1
+    part = part.withColumn("__number", number).join(offset, (F.col("__h") == F.col("__oh")) & (F.col("__part") == F.col("__op"))).withColumn("__number", F.col("__number") + F.col("__skip"))
+    each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.greatest(F.col("__bytes"), F.lit(1))))
+    chunk = F.floor(F.col("__number") / each)
+    part = part.select(*names, F.concat_ws("/", "__shard", chunk.cast("string")).alias("__shard"), "__depth", (F.least(each, F.col("__n") - chunk * each) * F.col("__bytes")).alias("__shard_bytes"))
+    return whole.unionByName(part)
+
+
 def assign(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, bytes, shard (its bits, and /k for overflow k), depth, shard_bytes``.
 
     ``shard_bytes`` is at most ``limit`` unless the shard is one row that is larger by itself.
     """
-    size = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long")
-    slim = materialize(docs.select(docs[doc_id].alias("doc_id"), size.alias("bytes"), key_hash(docs[doc_id], F.md5(F.coalesce(docs[text], F.lit("")))).alias("hash")), "shard")
-    sums = materialize(slim.groupBy("hash").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-sums")
+    slim = materialize(_measured(docs, doc_id, text).select(docs[doc_id].alias("doc_id"), "__bytes", "__hash"), "shard")
+    sums = _sums(slim)
     leaves = materialize(directory(sums, limit), "leaves")
-    depths = [r["depth"] for r in leaves.select("depth").distinct().collect()]  # 60 at most
-    leaves = leaves.select("prefix", F.col("depth").alias("leaf_depth"), "shard_bytes")
-    # A row's leaf: one equi-join on (depth, prefix); prefixes of leaves are disjoint, so exactly one matches.
-    rows = slim.withColumn("at", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.shiftright("hash", MAX_BITS - d).alias("p")) for d in sorted(depths))))) if depths else slim.withColumn("at", F.struct(F.lit(0).alias("d"), F.lit(0).cast("long").alias("p")))
-    rows = rows.join(leaves, (F.col("at.d") == F.col("leaf_depth")) & (F.col("at.p") == F.col("prefix")))
-    bits = F.when(F.col("leaf_depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("leaf_depth"), "0"))
-    rows = rows.select("doc_id", "bytes", "hash", bits.alias("shard"), F.col("leaf_depth").alias("depth"), "shard_bytes")
-
-    over = sums.where((F.col("n") > 1) & (F.col("bytes") > limit)).select(F.col("hash").alias("h"), F.col("n"), F.col("bytes").alias("all_bytes"))
-    repeated = rows.join(over, F.col("hash") == F.col("h"), "left")
-    # Repeated rows are equal in bytes; a row's number comes from its input partition's offset and its place there.
-    part = repeated.where(F.col("h").isNotNull()).withColumn("part", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id())
-    part = materialize(part, "overflow")
-    offset = part.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
-    offset = offset.withColumn("skip", F.sum("c").over(Window.partitionBy("h").orderBy("part")) - F.col("c")).select(F.col("h").alias("oh"), F.col("part").alias("op"), "skip")
-    number = F.row_number().over(Window.partitionBy("h", "part").orderBy("mono")) - 1
-    part = part.withColumn("number", number).join(offset, (F.col("h") == F.col("oh")) & (F.col("part") == F.col("op"))).withColumn("number", F.col("number") + F.col("skip"))
-    each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1))))
-    chunk = F.floor(F.col("number") / each)
-    part = part.select("doc_id", "bytes", F.concat_ws("/", "shard", chunk.cast("string")).alias("shard"), "depth", (F.least(each, F.col("n") - chunk * each) * F.col("bytes")).alias("shard_bytes"))
-    return repeated.where(F.col("h").isNull()).select("doc_id", "bytes", "shard", "depth", "shard_bytes").unionByName(part)
+    return _placed(slim, sums, leaves, limit).select("doc_id", F.col("__bytes").alias("bytes"), F.col("__shard").alias("shard"), F.col("__depth").alias("depth"), F.col("__shard_bytes").alias("shard_bytes"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` as Parquet, one folder per shard.  Rows with one doc_id and different texts need distinct ids."""
-    where = assign(docs, limit, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard")).distinct()
-    docs.join(where, docs[doc_id].eqNullSafe(F.col("_id"))).drop("_id").repartition("_shard").write.partitionBy("_shard").parquet(path)
+    """Write ``docs`` as Parquet, one folder per shard (``_shard=``): every row once, in the shard that :func:`assign` gives it."""
+    if "_shard" in docs.columns:
+        raise ValueError("a column named _shard would clash with the shard folders")
+    rows = _measured(docs, doc_id, text)
+    sums = _sums(rows.select("__bytes", "__hash"))
+    leaves = materialize(directory(sums, limit), "leaves")
+    # An empty directory entry stands as "all", since partition values can't be empty.
+    name = F.when(F.col("__shard") == "", F.lit("all")).otherwise(F.replace("__shard", F.lit("/"), F.lit("-")))
+    placed = _placed(rows, sums, leaves, limit).withColumn("_shard", name)
+    placed.select(*docs.columns, "_shard").repartition("_shard").write.partitionBy("_shard").parquet(path)
