@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, joined, materialize
+from .common import in_groups, joined, materialize, sieved
 from .components import components
 
 #: Bits of a cell's number in the counting sketch: it grows with the input between these, a cell for every KB of files.
@@ -387,8 +387,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
     seats = dealt(members, "node", "n").withColumnRenamed("node", "d").groupBy("d").agg(F.collect_list(F.struct("hub", "own", "i", "j")).alias("seats"))
     rep = sets.select("node", "s1", "s2", "copies", F.col("doc_id").alias("rep_id"), F.col("t").alias("rep_t"))
     seats = materialize(seats.join(rep, F.col("d") == F.col("node")).drop("d"), "dealt")
-    # Only one text of each node with a seat goes on; a merge join, as nodes are of the order of the rows.
-    texts = docs.join(seats.hint("merge"), docs["doc_id"].eqNullSafe(F.col("rep_id")) & (docs["t"] == F.col("rep_t"))).select("text", "node", "s1", "s2", "copies", "seats")
+    # Only one text of each node with a seat goes on, and a sieve keeps the others in place; both sides are the same documents.
+    marked = sieved(docs, F.xxhash64("doc_id", "t"), seats, "rep_id", "rep_t").where("__maybe")
+    texts = marked.join(seats.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("t") == F.col("rep_t"))).select("text", "node", "s1", "s2", "copies", "seats")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(k), set()
