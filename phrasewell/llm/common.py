@@ -110,7 +110,7 @@ def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     """One batch of all rows: binary and list columns get 64-bit offsets, as those of 32 bits end at 2 GiB and would leave several chunks."""
     if len(held) == 1:
         return held[0]
-    kind = lambda t: pa.large_binary() if pa.types.is_binary(t) else pa.large_list(t.value_type) if pa.types.is_list(t) else t
+    kind = lambda t: pa.large_binary() if pa.types.is_binary(t) else pa.large_string() if pa.types.is_string(t) else pa.large_list(t.value_type) if pa.types.is_list(t) else t
     wide = pa.schema([pa.field(f.name, kind(f.type)) for f in held[0].schema])
     whole = pa.Table.from_batches(held).cast(wide).combine_chunks().to_batches()
     if len(whole) > 1:

@@ -391,29 +391,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
     marked = sieved(docs, F.xxhash64("doc_id", "t"), seats, "rep_id", "rep_t").where("__maybe")
     texts = marked.join(seats.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("t") == F.col("rep_t"))).select("text", "node", "s1", "s2", "copies", "seats")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(k), set()
+    def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text once a task, however often its row is repeated."""
+        seen = set()
         for b in batches:
-            node, s1, s2 = (b.column(c).to_pylist() for c in (1, 2, 3))
-            # Repeated rows lend a text once.
-            new = [not (n in seen or seen.add(n)) for n in node]
-            b = b.filter(pa.array(new, pa.bool_()))
-            made = list(shingler(b.column(0).to_pylist()))
-            mine = pa.array([digest(s) == (x, y) for s, x, y in zip(made, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
-            seen.difference_update(n for n, ok in zip(b.column(1).to_pylist(), mine.to_pylist(), strict=True) if not ok)
-            out = pa.RecordBatch.from_arrays([b.column(1), b.column(4), b.column(5), pa.array([s.astype("<u8").tobytes() for s in made], pa.binary())], names=["node", "copies", "seats", "set"])
-            yield out.filter(mine)
-
-    verified = texts.mapInArrow(whole, "node long, copies long, seats array<struct<hub:long,own:int,i:int,j:int>>, set binary")
+            new = [not (x in seen or seen.add(x)) for x in zip(b.column(1).to_pylist(), map(hash, b.column(0).to_pylist()), strict=True)]
+            yield b.filter(pa.array(new, pa.bool_()))
+
+    # Texts travel, not their sets: compressed, they are a fraction of the size.
+    kept = texts.mapInArrow(lent, "text string, node long, s1 long, s2 long, copies long, seats array<struct<hub:long,own:int,i:int,j:int>>")
     several = F.array_sort(F.array_distinct(F.transform("seats", lambda s: s["hub"])))
-    verified = verified.withColumn("hubs", F.when(F.size(several) > 1, several).otherwise(F.array().cast("array<bigint>"))).select("node", "copies", "set", "hubs", F.inline("seats"))
+    kept = kept.withColumn("hubs", F.when(F.size(several) > 1, several).otherwise(F.array().cast("array<bigint>"))).select("text", "node", "s1", "s2", "copies", "hubs", F.inline("seats"))
 
     def compare(b: pa.RecordBatch) -> dict | None:
         field = lambda c: b.column(b.schema.get_field_index(c))
-        nodes, own = field("node").to_numpy(), field("own").to_numpy()
-        once = np.append(True, (nodes[1:] != nodes[:-1]) | (own[1:] != own[:-1]))  # repeated rows of a node
-        nodes, own, copies = nodes[once], own[once], field("copies").to_numpy()[once]
-        made = [np.frombuffer(x, "<u8") for x, o in zip(field("set").to_pylist(), once.tolist(), strict=True) if o]
+        if b.num_rows < 2:
+            return None
+        # The rows that bring their node's set; of repeated ones the first.
+        every, own = list(shingler(field("text").to_pylist())), field("own").to_numpy()
+        mine = np.array([digest(x) == (y, z) for x, y, z in zip(every, field("s1").to_pylist(), field("s2").to_pylist(), strict=True)])
+        at = np.flatnonzero(mine)
+        nodes = field("node").to_numpy()[at]
+        at = at[np.append(True, (nodes[1:] != nodes[:-1]) | (own[at][1:] != own[at][:-1]))[: at.size]]
+        nodes, own, copies, made = field("node").to_numpy()[at], own[at], field("copies").to_numpy()[at], [every[x] for x in at]
         i, j = field("i")[0].as_py(), field("j")[0].as_py()
         n_left = None if i == j else int(np.count_nonzero(own == i))
         if len(made) < 2 or (n_left is not None and not 0 < n_left < len(made)):
@@ -422,7 +422,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
         if not p.size:
             return None
         ties = forest(nodes, p, q)
-        hubs = [tuple(h) for h, o in zip(field("hubs").to_pylist(), once.tolist(), strict=True) if o]
+        hubs = [tuple(h) for h in field("hubs").take(pa.array(at)).to_pylist()]
         mine = counted_here(field("hub")[0].as_py(), hubs, p, q)
         n = np.zeros(nodes.size, np.int64)
         np.add.at(n, p[mine], copies[q[mine]])
@@ -430,7 +430,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
         some = np.flatnonzero(n)
         return {"a": [t[0] for t in ties] + nodes[some].tolist(), "b": [t[1] for t in ties] + nodes[some].tolist(), "n": [0] * len(ties) + n[some].tolist()}
 
-    found = in_groups(verified.select("hub", "i", "j", "own", "node", "copies", "set", "hubs"), ["hub", "i", "j"], ["own", "node"], compare, "a long, b long, n long")
+    shingler = Shingler(k)
+    found = in_groups(kept.select("hub", "i", "j", "own", "node", "copies", "s1", "s2", "hubs", "text"), ["hub", "i", "j"], ["own", "node"], compare, "a long, b long, n long")
     found = materialize(found, "found")
     linked = materialize(components(found.where("n = 0").select("a", "b")), "components")
     classes = linked.join(sets.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
