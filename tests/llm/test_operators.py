@@ -406,6 +406,57 @@ def test_mixing(spark, empty):
     assert Counter(r.doc_id for r in mixing.mixed_documents(df).collect()) == Counter({i: c for i, *_, c in got if c})
 
 
+def test_target_table_is_the_definition(spark):
+    rng = np.random.default_rng(5)
+    for trial in range(3):
+        sizes = {f"s{i}": int(rng.integers(0, 10 ** int(rng.integers(1, 6)))) for i in range(40)} | {None: 77}
+        df = spark.createDataFrame(list(sizes.items()), "source string, words long").repartition(3)
+        got = {r.source: r.target for r in mixing.target_table(df, (3, 1, 2), 1.5, 2.0).collect()}
+        assert got == {s: pytest.approx(t) for s, t in mixing.targets(sizes, (3, 1, 2), 1.5, 2.0).items()}
+    none = spark.createDataFrame([], "source string, words long")
+    assert mixing.target_table(none, (1,), 1.5, 2.0).count() == 0
+    assert {r.target for r in mixing.target_table(spark.createDataFrame([("a", 0)], "source string, words long"), (1,), 1.5, 2.0).collect()} == {0.0}
+
+
+def test_mixing_against_brute_force(spark):
+    """Documents in the order of their exponential keys, taken one by one; also with many keys on one edge and repeated rows."""
+    rows = [(i, sentence(i, 1 + i % 29) + (" #" if i % 5 == 0 else ""), ["a", "b", None][i % 3]) for i in range(300)] + [(7, sentence(7, 8), "b")] * 120 + [(None, "null id", "b")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    keyed = df.select(*mixing._keyed(df, "doc_id", "text", "source", None, 0)).collect()
+    u = {(r.doc_id, r.tie): r.key for r in keyed}
+    assert len(set(u.values())) > 250 and min(u.values()) > 0
+    sizes = Counter()
+    for r in keyed:
+        sizes[r.source] += r["size"]
+    goal, want = mixing.targets(dict(sizes), (3, 1, 2), 1.5, 2.0), Counter()
+    for s, total in sizes.items():
+        epochs, before = int(goal[s] // total), 0
+        rest = goal[s] - epochs * total
+        for r in sorted((r for r in keyed if r.source == s), key=lambda r: (r.key, r.tie)):
+            take = epochs + (rest > 0 and before + r["size"] / 2 <= rest)
+            want[r.doc_id, s, r["size"], take] += 1
+            before += r["size"]
+    for parts in (1, 4):
+        got = Counter((r.doc_id, r.source, r["size"], r.copies) for r in mixing.mix(df.repartition(parts)).collect())
+        assert got == want
+
+
+def test_mixed_documents_pool_only_equal_rows(spark):
+    rows = [(1, "a b c", "s1", "x"), (1, "a b c", "s1", "x"), (1, "a b c", "s2", None), (1, "a b c", "s2", "x"), (2, "d e", "s2", "x"), (3, None, "s1", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = Counter(map(tuple, mixing.mixed_documents(df, share=2.0, most=2.0).collect()))
+    assert got == Counter({r: 2 * n for r, n in Counter(rows).items()})
+
+
+def test_light_documents_share_no_bucket(spark):
+    """Keys of documents of least weight spread over buckets like any others."""
+    df = spark.createDataFrame([(i, "#" * 30 + f" {i}", "s") for i in range(5000)], "doc_id long, text string, source string")
+    keys = df.select(*mixing._keyed(df, "doc_id", "text", "source", None, 0)).withColumn("b", mixing.bucket(F.col("key")))
+    assert keys.groupBy("b").count().agg(F.max("count")).first()[0] <= 15
+    order = keys.orderBy("key").select("b").collect()
+    assert order == sorted(order)
+
+
 def test_heavier_documents_come_first(spark):
     df = spark.createDataFrame([(i, "w " * 10 + ("####" * 40 if i % 2 else ""), "s", 1) for i in range(2000)], "doc_id long, text string, source string, n int")
     got = mixing.mix(df, share=0.3, weights=(1,)).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum("copies").alias("n")).collect()
@@ -474,6 +525,22 @@ def test_bpe_matches_the_library(docs, empty):
     assert bpe.decode(bpe.encode(empty.select("doc_id", "text"), path), path).count() == 0
 
 
+def test_bpe_cache_is_bounded_in_bytes(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    model, plain = bpe.WordBpe(json.load(open(P.path("word_bpe_49k.json")))), bpe.WordBpe(json.load(open(P.path("word_bpe_49k.json"))))
+    for i in range(40):
+        text = sentence(i, 30) + " " + "".join(np.random.default_rng(i).choice(list("abc"), 2000))
+        assert model.encode([text]) == plain.encode([text])
+        assert model.cached == sum(len(w) + len(x) + bpe.ENTRY_BYTES for w, x in model.cache.items() if w not in model.special) < 40_000
+        assert max(map(len, model.cache)) <= bpe.LONGEST_KEPT
+        if i % 10 == 0:
+            plain.cache, plain.cached = {}, 0
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "a b", "x" * 700_000, "c"])], "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode(df, P.path("word_bpe_49k.json"), decoded="back").collect()}
+    assert {i: r.n_tokens for i, r in got.items() if i != 3} == {0: 0, 1: 0, 2: 2, 4: 1} and got[2].back == "a</w> b</w>" and got[3].n_tokens > 0
+
+
 def test_bpe_odd_texts():
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
