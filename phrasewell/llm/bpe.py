@@ -11,7 +11,8 @@ one space, as the file has no decoder).  The vocabulary is sent once per
 executor; its size is that of the file, whatever the corpus.
 
 Null and empty texts have no ids and decode to "".  Rows are independent, so
-ties, repeats and empty tables need no care.  Existing columns of the same name are replaced.
+ties, repeats and empty tables need no care.  A very long text is a block of its own, split at once; what a
+worker keeps beyond that is bounded in bytes.  Existing columns of the same name are replaced.
 """
 
 from __future__ import annotations
@@ -22,15 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words kept per worker; the cache starts anew when full.
-CACHE_WORDS = 300_000
+#: Bytes of words and ids kept per worker, with an allowance for each entry; the cache starts anew when full.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 200
+#: A longer word is not kept.
+LONGEST_KEPT = 256
 #: Characters handled at once.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -62,6 +67,7 @@ class WordBpe:
         self.keys, self.rank = keys[order], order
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     @staticmethod
     def check(spec: dict) -> None:
@@ -150,31 +156,33 @@ class WordBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [list(self.pieces(t)) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        if self.cached > CACHE_BYTES:
+            self.cache, self.cached = {}, 0
         cache = self.cache
         if not cache:
             cache.update({c: np.array([i], "<u4").tobytes() for c, i in self.special.items()})
         new = [w for w in {w for s in split for w in s} if w not in cache]
         if new:
             cache.update(zip(new, self.merge(new), strict=True))
-        return [b"".join(map(cache.__getitem__, s)) for s in split]
+            self.cached += sum(len(w) + len(cache[w]) for w in new) + ENTRY_BYTES * len(new)
+        out = [b"".join(map(cache.__getitem__, s)) for s in split]
+        for w in [w for w in new if len(w) > LONGEST_KEPT]:
+            self.cached -= len(w) + len(cache.pop(w)) + ENTRY_BYTES
+        return out
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _blocks(texts: list, most: int) -> Iterator[list]:
-    """Runs of ``texts`` of about ``most`` characters; a longer text is a run of its own."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def _blocks(texts: pa.Array, most: int) -> Iterator[list[str]]:
+    """Runs of ``texts`` of about ``most`` bytes, "" for nulls; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield ["" if t is None else t for t in texts.slice(at, to - at).to_pylist()]
+        at = to
 
 
 def _loaded(path: str):
@@ -182,19 +190,23 @@ def _loaded(path: str):
         return json.load(f)
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
-    """``docs`` with columns ``ids`` (binary, little-endian uint32) and ``n_tokens`` (long)."""
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:
+    """``docs`` with columns ``ids`` (binary, little-endian uint32) and ``n_tokens`` (long); with ``decoded``, also that column, decoded in the same pass."""
     shared = docs.sparkSession.sparkContext.broadcast(_loaded(vocabulary))
-    docs = docs.drop(*({ids, n_tokens} & set(docs.columns)))
+    added = [ids, n_tokens] + [decoded] * bool(decoded)
+    docs = docs.drop(*(set(added) & set(docs.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = WordBpe(shared.value)
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            out = [x for run in _blocks(texts, BLOCK_CHARS) for x in model.encode(run)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=[*b.schema.names, ids, n_tokens])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())])
+            at = 0
+            for texts in _blocks(b.column(b.schema.get_field_index(text)), BLOCK_CHARS):
+                out = model.encode(texts)
+                more = [pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())] + [pa.array(map(model.decode, out), pa.string())] * bool(decoded)
+                yield pa.RecordBatch.from_arrays([*b.slice(at, len(texts)).columns, *more], names=[*b.schema.names, *added])
+                at += len(texts)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType()), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     return docs.mapInArrow(run, schema)
 
 

@@ -88,10 +88,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import decode, encode
+    from .bpe import encode
 
-    tokens = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).select("doc_id", "n_tokens", "ids")
-    return decode(tokens, vocabulary()).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+    tokens = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), decoded="decoded")
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
 #: Bytes of text a shard may hold.
