@@ -309,6 +309,7 @@ def test_multi_index(spark, block, monkeypatch):
             rows.append((n, (c + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.25])).tolist(), int(g % 3)))
             n += 1
     plain = list(rows)
+    assert len(rows) >= multi_index.LEAST_FIT
     odd = [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [float("nan")] + [1.0] * 15, 0), (n + 3, rows[0][1], None), (n + 4, [1.0, None] + [1.0] * 14, 0), (n + 5, [1.0], 0), (n + 6, [float("inf")] + [1.0] * 15, 0), (n + 7, [], 0)]
     df = clashing(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").withColumnRenamed("label", "l")).drop("label").withColumnRenamed("l", "label")
     got = {r.vec_id: r for r in multi_index.near_embeddings(df, codewords=8, recall=1.0).collect()}
@@ -328,6 +329,7 @@ def test_multi_index(spark, block, monkeypatch):
 def test_visits_are_widened_until_recall_is_met(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "MAX_VISITS", 1)
     monkeypatch.setattr(multi_index, "LEAST_VISITS", 1)
+    monkeypatch.setattr(multi_index, "LEAST_FIT", 10)
     rng = np.random.default_rng(6)
     c = rng.normal(size=16)
     x = c + rng.normal(size=(60, 16)) * 0.22
@@ -339,13 +341,80 @@ def test_visits_are_widened_until_recall_is_met(spark, monkeypatch):
 
 def test_visits_without_measured_pairs(spark):
     x = multi_index.unit(np.random.default_rng(8).normal(size=(300, 64)))
-    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, x array<double>, label int")
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "node long, l1 long, x array<double>")
     books = multi_index.k_means(x[:, :32], 32), multi_index.k_means(x[:, 32:], 32)
     got = multi_index.calibrate(df, [(0, i) for i in range(300)], x, books, 0.93, 0.999)
     match = multi_index.visits(x, books, got) == multi_index.visits(multi_index.made_up(x, 0.93), books, 1)
     assert got >= 16 and match.any(axis=1).mean() >= 0.999 and np.allclose((multi_index.made_up(x, 0.93) * x).sum(axis=1), 0.93)
 
 
+def vector_rows(rows, threshold=0.93):
+    """(vec_id, links, smallest id reachable, kept) of each row (id, vector, label), all pairs compared in exact arithmetic's range."""
+    def good(v, l):
+        return l is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v)
+
+    def near(a, b):
+        x, y = (np.array(v) / max(map(abs, v)) for v in (a, b))
+        return float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))) >= threshold
+
+    parent, links = list(range(len(rows))), Counter()
+
+    def root(r):
+        while parent[r] != r:
+            r = parent[r]
+        return r
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        (_, x, l), (_, y, m) = rows[a], rows[b]
+        if good(x, l) and good(y, m) and l == m and len(x) == len(y) and near(x, y):
+            links[a] += 1
+            links[b] += 1
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    ids = {}
+    for r in range(len(rows)):
+        ids.setdefault(root(r), []).append(rows[r][0])
+    least = {c: min((i for i in v if i is not None), default=None) for c, v in ids.items()}
+    return Counter((rows[r][0], links[r], least[root(r)], rows[r][0] == least[root(r)]) for r in range(len(rows)))
+
+
+def test_multi_index_odd_vectors(spark):
+    v, w = [1.0, 2.0, 3.0, 4.0], [4.0, -1.0, 0.5, 2.0]
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0), (3, v, 0), (4, v, 0), (5, [2 * c for c in v], 0), (6, [5.0], 0), (7, [6.0], 0), (8, [-6.0], 0)]  # lengths 1, 2 and 4
+    rows += [(9, [1e-200] * 4, 0), (10, [1e200] * 4, 0), (11, [5e-324] * 4, 0), (12, v, 1), (None, v, 0), (None, w, 0), (13, w, 0), (13, w, 0), (13, v, 0), (None, [9.0, 0.0, 0.0, 0.0], 2), (None, [9.0, 0.0, 0.0, 0.0], 2)]
+    rows += [(14, [], 0), (15, None, 0), (16, [0.0] * 4, 0), (17, [1e308, -1e308, 1e308, 0.0], 0), (18, v, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert Counter(map(tuple, multi_index.near_embeddings(df).collect())) == vector_rows(rows)
+
+
+def test_multi_index_with_a_hot_group(spark, monkeypatch):
+    """A third of all rows are equal, another third nearly so; tiny vectors in the sample leave the codebooks whole."""
+    monkeypatch.setattr(multi_index, "BLOCK", 16)
+    rng = np.random.default_rng(21)
+    hot = rng.normal(size=12)
+    rows = [(i, hot.tolist(), 0) for i in range(100)] + [(100 + i, (hot + rng.normal(size=12) * 0.05).tolist(), 0) for i in range(100)]
+    rows += [(200 + i, rng.normal(size=12).tolist(), 0) for i in range(90)] + [(300 + i, (rng.normal(size=12) * 1e-200).tolist(), 0) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert Counter(map(tuple, multi_index.near_embeddings(df, recall=1.0).collect())) == vector_rows(rows)
+
+
+def test_measured_recall_is_met(spark):
+    """Through the query's own parameters: at least 0.9 of the links of a table with pairs at many distances."""
+    rng = np.random.default_rng(30)
+    rows = []
+    for g in range(150):
+        c = rng.normal(size=64)
+        rows += [(len(rows) + k, (c + rng.normal(size=64) * s).tolist(), g % 4) for k, s in enumerate(rng.choice([0.05, 0.2, 0.26, 0.3], 8))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    want, got = vector_rows(rows), {r.vec_id: r for r in multi_index.near_embeddings(df).collect()}
+    total = sum(n * c for (_, n, *_), c in want.items())
+    assert total > 1000 and 0.9 * total <= sum(r.n_links for r in got.values()) <= total
+
+
+def test_codebooks_grow_with_the_root_of_the_nodes():
+    sizes = [multi_index.codewords_for(n, multi_index.SAMPLE) for n in (10**4, 10**6, 10**8)]
+    assert sizes == [13, 125, 1250] and multi_index.codewords_for(10**12, 400) == 100
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(1)
     books = rng.normal(size=(6, 4)), rng.normal(size=(6, 4))
