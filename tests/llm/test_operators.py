@@ -626,6 +626,18 @@ def test_bpe_odd_texts():
 # 2 ------------------------------------------------------------------------
 
 
+# Public license texts.
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted{}.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL the authors or copyright holders BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
 def test_licenses(spark, docs, empty):
     own = {
         100: "Permission is hereby granted, free of charge, to nobody",
@@ -635,7 +647,18 @@ def test_licenses(spark, docs, empty):
         104: "under the GNU General Public License version 4",
         105: "CC BY NC and cc-by-nc; x",
         106: "under the mit license " * 3,
-        107: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: keep it. Neither the name of Some Firm nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        107: BSD.format("3. Neither the name of Some Firm nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "),
+        108: BSD.format(""),
+        109: BSD.format("3. Send money. "),
+        110: BSD.replace("retain the above", "drop the above").format(""),
+        111: ISC.format(", provided that the above copyright notice and this permission notice appear in all copies"),
+        112: ISC.format(""),
+        113: ISC.format(", provided that you pay"),
+        114: MIT,
+        115: MIT + " Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium.",
+        116: MIT.replace("The above copyright notice", "A fee"),
+        117: "This is not under the MIT license. It is not licensed under the MIT license; never released under the MIT license.",
+        118: "x" * 10 + " " + MIT.replace("the authors or copyright holders", "Jane Doe") + " more words",
     }
     rows = list(enumerate(texts())) + list(own.items())
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -646,7 +669,8 @@ def test_licenses(spark, docs, empty):
         places = sorted((k, label) for p, label in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
         assert got[i].n_words == len(w) and [(p.start, p.label) for p in got[i].places] == places and 0 <= got[i].score <= 1
     labels = {i: {m.label for m in got[i].matches} for i in own}
-    assert labels[101] == {"apache-2"} and labels[102] == {"apache-2"} and labels[103] == {"gpl-3"} and labels[104] == set() and labels[106] == {"mit"} and labels[107] == {"bsd-3"}
+    assert labels[101] == {"apache-2"} and labels[102] == {"apache-2"} and labels[103] == {"gpl-3"} and labels[104] == set() and labels[106] == set()
+    assert [labels[i] for i in range(107, 119)] == [{"bsd-3"}, {"bsd-2"}, set(), set(), {"isc"}, {"0bsd"}, set(), {"mit"}, {"x11"}, set(), set(), {"mit"}]
     assert labels[100] == set() and 0 < got[100].score < 1 and got[0].score == 0
     assert licenses.scan_licenses(empty).count() == 0
 
