@@ -1,18 +1,20 @@
 """Personal data by weak-supervision aggregation (operator 3).
 
 1. Base spans: e-mail, IP, card and phone patterns, leftmost and non-overlapping per kind, with their checks.
-2. Candidates: every token with a digit or an at-sign.  Labelers vote on each:
+2. Candidates: every token with a digit or an at-sign, account and identity numbers written in groups, and
+   capitalised names after a word that announces one.  Labelers vote on each:
    patterns, a gazetteer of words that announce personal data or other numbers, and the context.
-3. The votes of all candidates of all documents are counted by pattern; the
-   number of patterns is bounded by the labelers, not the corpus.  Expectation
-   maximisation on the counts estimates each labeler's reliability and each pattern's probability.
-4. Those probabilities train the final span classifier, a logistic regression
-   on shape and context features (from counts as well).
+3. The votes of all candidates of all documents are counted by pattern, at most ``3 ** len(LABELERS)``
+   of them.  Expectation maximisation on the counts estimates each labeler's reliability and each pattern's probability.
+4. Those probabilities, summed by feature pattern (at most ``2 ** len(FEATURES)``), train the final span classifier, a logistic regression
+   on shape and context features.
 5. Candidates it accepts and no base span overlaps are added; base spans always stay.
 
+Every scan is linear in the text, so very long texts and runs of digits or letters are searched whole.
 Offsets are code points, end exclusive.  Null text counts as empty and has no
-spans.  Rows are independent once the model is fitted; an empty table or one
-without candidates keeps base spans only.  Existing columns of the result's name are replaced.
+spans.  Rows are independent once the model is fitted, so repeated rows have equal spans; ties between kinds at one start go by
+kind as listed, base kinds first.  An empty table or one
+without candidates keeps base spans only.  Existing columns of the result's name are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -26,25 +28,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+from .common import materialize
+
+# The base patterns, in forms that never look twice at a run of characters.  What may come before an
+# at-sign is looked for from there backwards; a dotted number starts where a run of digits does.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
-DIGIT = re.compile(r"[0-9@]")
+DIGIT = re.compile(r"[0-9@]+")
 TOKEN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+@-")
 HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
 NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+#: Numbers written in groups.
+GROUPED = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?|[0-9]{3}[ .][0-9]{2}[ .][0-9]{4})(?![A-Za-z0-9])")
+#: A capitalised name of two or three words after a word that announces one.
+NAMED = re.compile(r"(?<![A-Za-z])(?:[Nn]ame|[Cc]ontact|[Pp]atient|[Cc]ustomer|[Ee]mployee|[Cc]lient|[Ss]igned|[Aa]ttn)(?: ?: ?| is )((?:[A-Z][a-z'-]{1,30} ){1,2}[A-Z][a-z'-]{1,30})(?![A-Za-z])")
 NUMBER = re.compile(r"[0-9]{1,4}(\.[0-9]{1,3})?")
 
+#: Patterns that a task holds before it passes them on.
+MOST_HELD = 100_000
+
 # Words that announce personal data, and words that announce other numbers.
 ANNOUNCE = frozenset("token key secret password passwd pwd apikey bearer auth login user account iban ssn passport id email mail e-mail tel telephone phone mobile call fax contact card visa iban address".split())
 PLAIN = frozenset("version v page pages chapter section figure table year line lines no number vol volume edition step item part by-nc by".split())
-LABELERS = ("base", "hex", "national", "iban", "announced", "assigned", "number", "plain", "short")
-FEATURES = ("digits6", "digits9", "letters", "hex_run", "at", "dots", "dashes", "assigned", "announced", "plain", "long", "quoted")
+LABELERS = ("base", "hex", "national", "iban", "announced", "assigned", "number", "plain", "short", "name")
+FEATURES = ("digits6", "digits9", "letters", "hex_run", "at", "dots", "dashes", "assigned", "announced", "plain", "long", "quoted", "name")
 
 
 def luhn(digits: str) -> bool:
@@ -57,18 +70,32 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(t: str) -> list[tuple[int, int]]:
+    """Start and end of each match of ``[A-Za-z0-9._%+-]+@`` and a dotted domain, leftmost first, none overlapping."""
+    out, done, k = [], 0, t.find("@")
+    while k >= 0:
+        a = k
+        while a > done and t[a - 1] in LOCAL:
+            a -= 1
+        if a < k and (m := DOMAIN.match(t, k + 1)):
+            out.append((a, m.end()))
+            done = m.end()
+        k = t.find("@", max(k + 1, done))
+    return out
+
+
 def base_spans(t: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), sorted."""
-    out = []
-    if "@" in t:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    out = [(a, 0, b) for a, b in emails(t)]
     for m in IP.finditer(t):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        parts = [p.lstrip("0") or "0" for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(t):
-        d = m.group().replace(" ", "").replace("-", "")
-        if 14 <= len(d) <= 19 and luhn(d):
-            out.append((m.start(), 2, m.end()))
+        if m.end() - m.start() >= 14:
+            d = m.group().replace(" ", "").replace("-", "")
+            if 14 <= len(d) <= 19 and luhn(d):
+                out.append((m.start(), 2, m.end()))
     if "+" in t:
         for m in PHONE.finditer(t):
             if 10 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
@@ -77,14 +104,20 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(t: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, int, int, bool]]:
-    """(start, end, kind, votes, features, overlaps a base span) of each token with a digit or an at-sign."""
+def grouped(t: str) -> list[tuple[int, int]]:
+    """Candidates of more than one token, none overlapping."""
+    out = sorted([m.span() for m in GROUPED.finditer(t)] + [m.span(1) for m in NAMED.finditer(t)])
+    return [s for k, s in enumerate(out) if not k or s[0] >= out[k - 1][1]]
+
+
+def tokens(t: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Tokens with a digit or an at-sign, without the marks around them, and the stretches ``taken``; by start."""
     done, k, n = 0, 0, len(t)
     for m in DIGIT.finditer(t):
         if m.start() < done:
             continue
         a, b = m.start(), m.end()
-        while a > 0 and t[a - 1] in TOKEN:
+        while a > done and t[a - 1] in TOKEN:
             a -= 1
         while b < n and t[b] in TOKEN:
             b += 1
@@ -93,25 +126,38 @@ def candidates(t: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             b -= 1
         while a < b and t[a] in ".-%@_":
             a += 1
-        if a == b:
-            continue
+        while k < len(taken) and taken[k][1] <= a:
+            yield taken[k]
+            k += 1
+        if a < b and not (k < len(taken) and taken[k][0] < b):
+            yield a, b
+    yield from taken[k:]
+
+
+def candidates(t: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, int, int, bool]]:
+    """(start, end, kind, votes, features, overlaps a base span) of each candidate."""
+    k = 0
+    for a, b in tokens(t, grouped(t)):
         while k < len(base) and base[k][2] <= a:
             k += 1
         covered = any(s < b and a < e for s, _, e in base[max(0, k - 4) : k + 4])
         s = t[a:b]
+        joined = s.replace(" ", "").replace("-", "") if " " in s or s[:2].isupper() else s
         before = t[max(0, a - 24) : a]
         words = re.findall(r"[a-z-]+", before.lower())
         last = words[-1] if words else ""
         quoted = before[-1:] in ("'", '"')
         assigned = before.rstrip("'\" ")[-1:] in ("=", ":")
         digits = sum("0" <= c <= "9" for c in s)
+        name = not digits and "@" not in s
         hexed = bool(HEX.fullmatch(s)) and digits > 0
-        announced, plain = last in ANNOUNCE, last in PLAIN
-        number, national, iban = bool(NUMBER.fullmatch(s)), bool(NATIONAL.fullmatch(s)), bool(IBAN.fullmatch(s)) and digits > 4
+        announced, plain = name or last in ANNOUNCE, last in PLAIN
+        national = bool(NATIONAL.fullmatch(s.replace(" ", "-").replace(".", "-")))
+        number, iban = bool(NUMBER.fullmatch(s)), bool(IBAN.fullmatch(joined)) and digits > 4
         # Each labeler: 0 silent, 1 personal, 2 not.
-        votes = (int(covered), int(hexed and not s.isdigit()), int(national), int(iban), int(announced), int(assigned and digits > 3), 2 * number, 2 * plain, 2 * (digits < 4 and "@" not in s))
-        feats = (digits >= 6, digits >= 9, any(c.isalpha() for c in s), hexed, "@" in s, s.count(".") >= 2, s.count("-") >= 2, assigned, announced, plain, len(s) >= 16, quoted)
-        kind = "secret" if hexed and not s.isdigit() else "iban" if iban else "national_id" if national else "contact" if "@" in s else "number"
+        votes = (int(covered), int(hexed and not s.isdigit()), int(national), int(iban), int(announced), int(assigned and digits > 3), 2 * number, 2 * plain, 2 * (digits < 4 and "@" not in s and not name), int(name))
+        feats = (digits >= 6, digits >= 9, any(c.isalpha() for c in s), hexed, "@" in s, s.count(".") >= 2, s.count("-") >= 2, assigned, announced, plain, len(s) >= 16, quoted, name)
+        kind = "name" if name else "secret" if hexed and not s.isdigit() else "iban" if iban else "national_id" if national else "contact" if "@" in s else "number"
         v = 0
         for x in votes:
             v = v * 3 + x
@@ -172,19 +218,30 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
         seen: dict[tuple[int, int], int] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t and DIGIT.search(t):
+                if t:
                     for *_, v, f, _ in candidates(t, base_spans(t)):
                         seen[v, f] = seen.get((v, f), 0) + 1
-        yield pa.RecordBatch.from_pydict({"v": pa.array([k[0] for k in seen], pa.int64()), "f": pa.array([k[1] for k in seen], pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    # Patterns are bounded by labelers and features (3 ** 9 and 2 ** 12 codes), whatever the corpus.
-    rows = docs.select(text).mapInArrow(count, "v long, f long, n long").groupBy("v", "f").agg(F.sum("n").alias("n")).collect()
-    if not rows:
+            if len(seen) > MOST_HELD:
+                yield packed(seen)
+                seen = {}
+        yield packed(seen)
+
+    def packed(seen: dict[tuple[int, int], int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"v": pa.array([k[0] for k in seen], pa.int64()), "f": pa.array([k[1] for k in seen], pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    votes = materialize(docs.select(text).mapInArrow(count, "v long, f long, n long").groupBy("v", "f").agg(F.sum("n").alias("n")), "votes")
+    # At most 3 ** len(LABELERS) rows.
+    by_vote = sorted(votes.groupBy("v").agg(F.sum("n").alias("n")).collect())
+    if not by_vote:
         return {"weights": None}
-    rows.sort()
-    v, f, n = (np.array([r[k] for r in rows], np.int64) for k in ("v", "f", "n"))
+    v, n = (np.array([r[k] for r in by_vote], np.int64) for k in ("v", "n"))
     p = aggregate_votes(unpack(v, 3, len(LABELERS)), n)
-    return {"weights": fit_classifier(unpack(f, 2, len(FEATURES)), p, n), "patterns": list(zip(v.tolist(), f.tolist(), n.tolist(), p.tolist(), strict=True))}
+    # Probabilities in millionths, so that sums are exact in any order.
+    known = docs.sparkSession.createDataFrame(list(zip(v.tolist(), np.round(p * 1e6).astype(int).tolist(), strict=True)), "v long, p long")
+    # At most 2 ** len(FEATURES) rows.
+    by_feature = sorted(votes.join(F.broadcast(known), "v").groupBy("f").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("p")).collect())
+    f, m, q = (np.array([r[k] for r in by_feature], float) for k in ("f", "n", "p"))
+    return {"weights": fit_classifier(unpack(f.astype(np.int64), 2, len(FEATURES)), q / m / 1e6, m), "votes": list(zip(v.tolist(), n.tolist(), p.tolist(), strict=True))}
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
@@ -197,7 +254,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", as_: str = "spans",
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def spans(t: str | None, known: dict[int, bool]) -> list[dict]:
-        if not t or not DIGIT.search(t):
+        if not t:
             return []
         base = base_spans(t)
         out = [(s, k, e, KINDS[k]) for s, k, e in base]

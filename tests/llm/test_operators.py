@@ -705,6 +705,81 @@ def test_pii(spark, docs, empty):
     assert "a.b@c-d.org" not in hidden[0] and "[email]" in hidden[0] and hidden[1] is None and hidden[5] == rows[5][1]
 
 
+# The base kinds as they are defined.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_base(t):
+    """(start, kind, end) by the patterns as defined."""
+    def holds(kind, m):
+        digits = [int(c) for c in m if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            twice = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+            return 14 <= len(digits) <= 19 and sum(twice) % 10 == 0
+        return kind == "email" or 10 <= len(digits) <= 15
+
+    return sorted((m.start(), k, m.end()) for k, (kind, r) in enumerate(BASE.items()) for m in re.finditer(r, t or "") if holds(kind, m.group()))
+
+
+def odd_texts():
+    rng = np.random.default_rng(17)
+    out = ["a@b", "a@b.c@d.e", "@x.y", "a@@b.c.", "1.2.3.4.5.6.7.8", "1.2.3", "01.002.0003.4", "256.1.1.1", "1..2.3.4.5", "+1 2", "+12345678901", "++1(234)567-8901 x", "4111-1111 1111 1111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    for alphabet in ("a.@-", "1.2 -", "+1 (2)-.", "ab1.@ -+()9"):
+        out += ["".join(rng.choice(list(alphabet), int(rng.integers(1, 60)))) for _ in range(400)]
+    out += ["".join(rng.choice(["4", "41", " ", "-", "+", "11.2", "x"], 40)) for _ in range(200)]
+    out += [" x ".join("".join(rng.choice(list("0123456789"), int(rng.integers(12, 21)))) for _ in range(4)) for _ in range(150)]
+    out += ["".join(f"{d}{rng.choice(['', '', ' ', '-', '--'])}" for d in rng.integers(0, 10, 30)) for _ in range(150)]
+    return out
+
+
+def test_base_kinds_are_the_patterns():
+    found = Counter()
+    for t in odd_texts() + [t for t in texts() if t]:
+        got = pii.base_spans(t)
+        assert got == plain_base(t), t
+        found.update(k for _, k, _ in got)
+    assert len(found) == 4 and min(found.values()) >= 5
+
+
+def test_personal_data_query(spark, tmp_path):
+    """Base counts and hash of the query against the patterns as defined."""
+    from phrasewell.llm import queries
+
+    rows = list(enumerate(odd_texts() + texts())) + [(None, "x a@b.cd"), (3, "1.2.3.4"), (3, "1.2.3.4")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for i, t in rows:
+        base = plain_base(t)
+        counts = Counter(list(BASE)[k] for _, k, _ in base)
+        want[i, *(counts[k] for k in BASE), hashlib.sha256(",".join(f"{list(BASE)[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()] += 1
+    got = queries.op3_pii(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == want
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) >= r.n_email + r.n_ip + r.n_card + r.n_phone for r in got)
+
+
+@pytest.mark.parametrize("text", ["1" * 10**6, "a" * 10**6 + "@", "1." * 500_000, "1 " * 500_000, "a@" * 500_000, "+1" + " " * 10**6, "a1-" * 333_000, "Name is " * 125_000, "x" * 500_000 + "@b.c" + "y" * 500_000])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    list(pii.candidates(text, pii.base_spans(text)))
+    assert time.perf_counter() - began < 5  # 1 MB; quadratic patterns took hours
+
+
+def test_grouped_numbers_and_names(spark):
+    own = {0: "account DE89 3704 0044 0532 0130 00 is mine", 1: "his ssn 123 45 6789 here", 2: "Name: John Quincy Smith wrote", 3: "the name is Jane Doe.", 4: "The Name of Things", 5: "page 12 of 30, version 2.0", 6: "in 123 45 6789 ways"}
+    got = {r.doc_id: [(s.kind, own[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find_personal_data(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
+    assert got[0] == [("iban", "DE89 3704 0044 0532 0130 00")] and got[1] == [("national_id", "123 45 6789")]
+    assert got[2] == [("name", "John Quincy Smith")] and got[3] == [("name", "Jane Doe")] and got[4] == [] and got[5] == []
+
+
 def test_vote_aggregation():
     rng = np.random.default_rng(4)
     truth = rng.random(4000) < 0.3
