@@ -46,6 +46,8 @@ NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 #: Numbers written in groups.
 GROUPED = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?|[0-9]{3}[ .][0-9]{2}[ .][0-9]{4})(?![A-Za-z0-9])")
+#: Ends of the words that announce a name: a text without any is not searched for one.
+NAME_WORDS = ("ame is", "ame:", "ame :", "tact is", "tact:", "tact :", "ient is", "ient:", "ient :", "omer is", "omer:", "omer :", "oyee is", "oyee:", "oyee :", "gned is", "gned:", "gned :", "ttn is", "ttn:", "ttn :")
 #: A capitalised name of two or three words after a word that announces one.
 NAMED = re.compile(r"(?<![A-Za-z])(?:[Nn]ame|[Cc]ontact|[Pp]atient|[Cc]ustomer|[Ee]mployee|[Cc]lient|[Ss]igned|[Aa]ttn)(?: ?: ?| is )((?:[A-Z][a-z'-]{1,30} ){1,2}[A-Z][a-z'-]{1,30})(?![A-Za-z])")
 NUMBER = re.compile(r"[0-9]{1,4}(\.[0-9]{1,3})?")
@@ -87,6 +89,8 @@ def emails(t: str) -> list[tuple[int, int]]:
 def base_spans(t: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), sorted."""
     out = [(a, 0, b) for a, b in emails(t)]
+    if not DIGIT.search(t):
+        return out
     for m in IP.finditer(t):
         parts = [p.lstrip("0") or "0" for p in m.group().split(".")]
         if all(len(p) <= 3 and int(p) <= 255 for p in parts):
@@ -106,7 +110,9 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 
 def grouped(t: str) -> list[tuple[int, int]]:
     """Candidates of more than one token, none overlapping."""
-    out = sorted([m.span() for m in GROUPED.finditer(t)] + [m.span(1) for m in NAMED.finditer(t)])
+    out = [m.span() for m in GROUPED.finditer(t)] if DIGIT.search(t) else []
+    if any(w in t for w in NAME_WORDS):
+        out = sorted(out + [m.span(1) for m in NAMED.finditer(t)])
     return [s for k, s in enumerate(out) if not k or s[0] >= out[k - 1][1]]
 
 
