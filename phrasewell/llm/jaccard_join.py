@@ -49,7 +49,7 @@ PIECES = 64
 #: Sets compared at once, and columns of the incidence matrix at once.
 BLOCK = 512
 #: Shingles of a block of sets, about.
-BLOCK_SHINGLES = 1 << 24
+BLOCK_SHINGLES = 1 << 22
 COLUMNS = 1 << 14
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
