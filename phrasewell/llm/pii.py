@@ -116,6 +116,11 @@ def grouped(t: str) -> list[tuple[int, int]]:
     return [s for k, s in enumerate(out) if not k or s[0] >= out[k - 1][1]]
 
 
+def silent(t: str | None) -> bool:
+    """Whether a text can hold neither base spans nor candidates."""
+    return not t or (not DIGIT.search(t) and not any(w in t for w in NAME_WORDS))
+
+
 def tokens(t: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Tokens with a digit or an at-sign, without the marks around them, and the stretches ``taken``; by start."""
     done, k, n = 0, 0, len(t)
@@ -224,7 +229,7 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
         seen: dict[tuple[int, int], int] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t:
+                if not silent(t):
                     for *_, v, f, _ in candidates(t, base_spans(t)):
                         seen[v, f] = seen.get((v, f), 0) + 1
             if len(seen) > MOST_HELD:
@@ -260,7 +265,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", as_: str = "spans",
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def spans(t: str | None, known: dict[int, bool]) -> list[dict]:
-        if not t:
+        if silent(t):
             return []
         base = base_spans(t)
         out = [(s, k, e, KINDS[k]) for s, k, e in base]
