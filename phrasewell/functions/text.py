@@ -7,12 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Identifiers, comment marks, structural characters and white space.
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]{2,}"
+COMMENT = r"^(#|//|/\*|\*|<!--|>)"
+STRUCTURAL = r"[{}()\[\]<>;:=|&!@#$%^*\-+/?\\]"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a line into word runs and the rest; the pieces concatenate to the line again.
 PIECES = "[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+"
 DEFINITION = r"(?<![A-Za-z0-9_.])[a-zA-Z_][a-zA-Z0-9_]{2,}+(?=[ \t]*+[A-Za-z0-9_]*+[ \t]*+(?:[(<\[=:{]|->))"
-COMMENT = r"^(#|//|/\*|\*|<!--|>)"
-STRUCTURAL = r"[{}()\[\]<>;:=|&!@#$%^*\-+/?\\]"
 
 # What may follow "#" in a directive, by its first two letters.
 DIRECTIVES = ("in", "de", "if", "en", "pr", "er", "wa")
@@ -25,7 +27,7 @@ def lines(text: Column) -> Column:
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    return F.btrim(line, F.lit(WHITE_SPACE))
 
 
 def identifiers(line: Column) -> Column:
@@ -47,31 +49,36 @@ def is_comment(line: Column) -> Column:
     return trimmed(line).rlike(COMMENT)
 
 
-def _count(s: Column, pattern: str) -> Column:
-    return F.regexp_count(s, F.lit(pattern))
+def _without(s: Column, pattern: str) -> Column:
+    return F.regexp_replace(s, pattern, "")
+
 
+def zone_of_trimmed(s: Column, names: Column) -> Column:
+    """0 for code, 1 for prose, of a line without outer white space that holds ``names`` identifiers.
 
-def zone_of_trimmed(s: Column) -> Column:
-    """0 for code, 1 for prose, of a line without outer white space."""
+    From three identifiers on, no ratio matters, so characters are counted in short lines only.
+    """
     size = F.greatest(F.octet_length(s), F.lit(1))
-    lower, structural = _count(s, "[a-z]") / size, _count(s, STRUCTURAL) / size
-    names = _count(s, IDENTIFIER)
-    word_bytes = F.octet_length(F.regexp_replace(s, r"(?U)\s", "")) / F.greatest(_count(s, r"(?U)\S+"), F.lit(1))
+    lower, structural = F.length(_without(s, "[^a-z]+")) / size, (F.length(s) - F.length(_without(s, STRUCTURAL + "+"))) / size
+    words = F.greatest(F.regexp_count(s, F.lit(r"(?U)\S+")), F.lit(1))
     hashed = F.when(F.substring(s, 2, 1) == "!", 0).when((F.octet_length(s) > 2) & F.substring(s, 2, 2).isin(*DIRECTIVES), 0).otherwise(1)
     return (
         F.when(s == "", 1)
         .when(s.startswith("//") | s.startswith("/*"), 1)
         .when(s.startswith("#"), hashed)
         .when(s.startswith("*") | s.startswith("<!--") | s.startswith(">"), 1)
-        .when((lower > 0.65) & (structural < 0.08) & (names < 3), 1)
+        .when(names >= 3, 0)
         .when(names == 0, 1)
-        .when((lower > 0.5) & (word_bytes < 6) & (structural < 0.05) & (names < 2), 1)
+        .when((lower > 0.65) & (structural < 0.08), 1)
+        .when((names < 2) & (lower > 0.5) & (structural < 0.05) & (F.octet_length(_without(s, r"(?U)\s+")) / words < 6), 1)
         .otherwise(0)
     )
 
 
 def line_zone(line: Column) -> Column:
-    return zone_of_trimmed(trimmed(line))
+    """The zone of a line, which is trimmed and searched for identifiers once."""
+    facts = F.struct(trimmed(line).alias("s"), F.regexp_count(line, F.lit(IDENTIFIER)).alias("n"))
+    return F.transform(F.array(facts), lambda x: zone_of_trimmed(x["s"], x["n"]))[0]
 
 
 def pieces(line: Column) -> Column:

@@ -1,12 +1,14 @@
 """The phrase index: an inverted index with per-file statistics, as Parquet tables.
 
 Phrases and paths are the durable keys; numeric ids are derived views (byte
-rank), so a refresh never shifts keys.  Building takes one shuffle of
-(file, phrase) groups, combined before it, and one of phrases for the document frequency.
+rank), so a refresh never shifts keys.  Building reads each text once (see ``extract``); what is shuffled
+is a row per (file, phrase), by phrase for document frequencies and left contexts and by file for statistics.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,27 +18,36 @@ from ..functions import text as X
 from ..functions.scoring import override_definition
 from ..plans.scratch import keep, ranked
 from . import lcep
+from .extract import FACTS, OCC, extract
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+#: Chunks of files that left contexts are sampled from.
+CHUNKS = 8
+TABLES = ("files", "occ", "phrases", "meta", "raw")
 
 
 @dataclass(frozen=True)
 class Index:
-    """``files (file_path, content_len, token_len, comment_ratio, unique_def_count, total_def_count, digest)``,
-    ``occ (phrase, file_path, is_def, zone, cnt, first_line)``, ``phrases (phrase, phrase_lc, df)`` and ``meta (key, value)``."""
+    """``files (file_path, content_len, digest, readable, comment_ratio, token_len, unique_def_count, total_def_count)``,
+    ``occ (phrase, file_path, is_def, zone, cnt, first_line)``, ``phrases (phrase, phrase_lc, df)``, ``meta (key, value)``
+    and ``raw``: occurrences as they were read, with left words, which is all that a refresh needs of unchanged files."""
 
     files: DataFrame
     occ: DataFrame
     phrases: DataFrame
     meta: DataFrame
+    raw: DataFrame
 
     @property
     def spark(self) -> SparkSession:
         return self.files.sparkSession
 
     def number(self, key: str, default: float) -> float:
-        row = self.meta.where(F.col("key") == key).select("value").first()
-        return default if row is None or row["value"] is None else row["value"]
+        """A value of ``meta``, a few rows that are read once."""
+        if "_numbers" not in self.__dict__:
+            object.__setattr__(self, "_numbers", {r["key"]: r["value"] for r in self.meta.collect()})
+        found = self._numbers.get(key)
+        return default if found is None else found
 
     def file_ids(self) -> DataFrame:
         return ranked(self.files.select("file_path"), "file_path", "file_id")
@@ -44,20 +55,55 @@ class Index:
     def phrase_ids(self) -> DataFrame:
         return ranked(self.phrases.select("phrase"), "phrase", "phrase_id")
 
-    def save(self, path: str) -> None:
-        """A new version folder, then the pointer to it: readers see the old or the new index."""
-        version = self.spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-        for name in ("files", "phrases", "meta"):
+    def save(self, path: str) -> str:
+        """A new version folder, complete before its marker appears; readers take the newest marked version.  Returns the version."""
+        fs, at = _files(self.spark, path)
+        # Versions sort by time; an id keeps writers of the same moment apart.
+        version = f"{time.time_ns():020d}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+        for name in ("files", "phrases", "meta", "raw"):
             getattr(self, name).write.parquet(f"{path}/v={version}/{name}")
         self.occ.repartitionByRange("phrase").sortWithinPartitions("phrase", "file_path").write.parquet(f"{path}/v={version}/occ")
-        self.spark.createDataFrame([(version, SCHEMA_VERSION)], "version string, schema int").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+        made = at(f"{path}/v={version}/_new")
+        out = fs.create(made, True)
+        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION}).encode()))
+        out.close()
+        fs.rename(made, at(f"{path}/v={version}/_COMPLETE"))
+        return version
+
+
+def _files(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of a saved index, oldest first."""
+    fs, at = _files(spark, path)
+    found = fs.globStatus(at(f"{path}/v=*/_COMPLETE"))
+    return sorted(f.getPath().getParent().getName()[2:] for f in found or ())
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    now = spark.read.parquet(f"{path}/current").first()
-    if now["schema"] != SCHEMA_VERSION:
-        raise ValueError(f"index schema {now['schema']} is not {SCHEMA_VERSION}")
-    return Index(*(spark.read.parquet(f"{path}/v={now['version']}/{t}") for t in ("files", "occ", "phrases", "meta")))
+    """The newest complete version."""
+    every = versions(spark, path)
+    if not every:
+        raise FileNotFoundError(f"no index at {path}")
+    base = f"{path}/v={every[-1]}"
+    fs, at = _files(spark, path)
+    held = fs.open(at(f"{base}/_COMPLETE"))
+    schema = json.loads(bytes(held.readAllBytes()))["schema"]
+    held.close()
+    if schema != SCHEMA_VERSION:
+        raise ValueError(f"index schema {schema} is not {SCHEMA_VERSION}")
+    return Index(*(spark.read.parquet(f"{base}/{t}") for t in TABLES))
+
+
+def open_or_build(spark: SparkSession, path: str, corpus, lcep_chunks: int = CHUNKS) -> Index:
+    """The index at ``path``; if there is none yet, that of the corpus which ``corpus()`` gives is built and saved there."""
+    if not versions(spark, path):
+        build(corpus(), lcep_chunks).save(path)
+    return load(spark, path)
 
 
 def lines_of(corpus: DataFrame) -> DataFrame:
@@ -66,7 +112,7 @@ def lines_of(corpus: DataFrame) -> DataFrame:
 
 
 def file_facts(corpus: DataFrame) -> DataFrame:
-    """Per file, without a shuffle: bytes, digest, comment ratio; zeros for unreadable (null) texts."""
+    """Per file, as expressions: bytes, digest, comment ratio; zeros for unreadable (null) texts."""
     rows = X.lines(F.coalesce(F.col("text"), F.lit("")))
     facts = F.transform(F.array(rows), lambda r: F.struct(F.size(r).alias("n"), F.size(F.filter(r, X.is_comment)).alias("c")))[0]
     ratio = F.when(F.col("facts.n") > 0, F.col("facts.c") / F.col("facts.n")).otherwise(F.lit(0.0))
@@ -74,40 +120,24 @@ def file_facts(corpus: DataFrame) -> DataFrame:
     return out.select("file_path", "content_len", "digest", "readable", ratio.alias("comment_ratio"))
 
 
-def occurrences(corpus: DataFrame) -> DataFrame:
-    """``phrase, file_path, is_def, zone, cnt, first_line``: definitions count on code lines only, code wins over prose."""
-    line = lines_of(corpus).withColumn("zone", X.line_zone(F.col("line")))
-    hits = F.transform(X.identifiers(F.col("line")), lambda p: F.struct(p.alias("phrase"), F.lit(1).alias("n"), F.lit(0).alias("d")))
-    defs = F.transform(X.definitions(F.col("line")), lambda p: F.struct(p.alias("phrase"), F.lit(0).alias("n"), F.lit(1).alias("d")))
-    every = F.when(F.col("zone") == 0, F.concat(hits, defs)).otherwise(hits)
-    tokens = line.select("file_path", "line_no", "zone", F.inline(every))
-    return tokens.groupBy("phrase", "file_path").agg(F.max("d").alias("is_def"), F.min("zone").alias("zone"), F.sum("n").alias("cnt"), F.min("line_no").alias("first_line"))
-
-
-def finish(files: DataFrame, occ: DataFrame, entropy: DataFrame | None) -> Index:
+def finish(files: DataFrame, raw: DataFrame, lcep_chunks: int, lcep_max_files: int | None = None) -> Index:
     """Index from per-file facts and raw occurrences: everything that depends on the whole corpus."""
-    occ = keep(occ, "occ-raw")
-    phrases = keep(occ.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).withColumn("phrase_lc", F.lower("phrase")), "phrases")
-    rows = occ.join(phrases.select("phrase", "df"), "phrase")
-    if entropy is not None:
-        rows = rows.join(entropy, "phrase", "left")
-    else:
-        rows = rows.withColumn("entropy", F.lit(None).cast("double"))
-    rows = rows.withColumn("is_def", override_definition(F.col("is_def"), F.col("zone"), F.col("df"), F.col("entropy")))
+    phrases = keep(raw.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).withColumn("phrase_lc", F.lower("phrase")).select("phrase", "phrase_lc", "df"), "phrases")
+    rows = raw.select("phrase", "file_path", "is_def", "zone", "cnt", "first_line").join(phrases.select("phrase", "df"), "phrase")
+    if lcep_chunks and (lcep_max_files is None or files.count() <= lcep_max_files):
+        rows = rows.join(lcep.phrase_entropy(files, raw, lcep_chunks), "phrase", "left")
+        rows = rows.withColumn("is_def", override_definition(F.col("is_def"), F.col("zone"), F.col("df"), F.col("entropy")))
     rows = keep(rows.select("phrase", "file_path", "is_def", "zone", "cnt", "first_line", "df"), "occ")
     defined = F.col("is_def") >= 1
     stats = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("token_len"), F.sum(F.when(defined & (F.col("df") == 1), 1).otherwise(0)).alias("unique_def_count"), F.sum(F.when(defined, 1).otherwise(0)).alias("total_def_count"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    files = keep(files.join(stats, "file_path", "left").select("file_path", "content_len", "digest", "readable", "comment_ratio", *map(zero, ("token_len", "unique_def_count", "total_def_count"))), "files")
-    mean = files.where("readable").agg(F.avg("token_len").alias("value")).select(F.lit("avgdl").alias("key"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    meta = mean.unionByName(files.sparkSession.range(1).select(F.lit("build_time").alias("key"), F.unix_timestamp().cast("double").alias("value")))
-    return Index(files, rows.drop("df"), phrases, keep(meta, "meta"))
-
-
-def build(corpus: DataFrame, lcep_chunks: int = 8, lcep_max_files: int = 5000) -> Index:
-    """Full build over ``corpus (file_path, text)``; left-context entropy only up to ``lcep_max_files`` files."""
-    files = keep(file_facts(corpus), "file-facts")
-    entropy = None
-    if lcep_chunks and files.count() <= lcep_max_files:
-        entropy = keep(lcep.phrase_entropy(corpus, lcep_chunks), "entropy")
-    return finish(files, occurrences(corpus.where("text is not null")), entropy)
+    files = keep(files.select(*FACTS).join(stats, "file_path", "left").select(*FACTS, *map(zero, ("token_len", "unique_def_count", "total_def_count"))), "files")
+    facts = files.agg(F.avg(F.when(F.col("readable"), F.col("token_len"))).alias("mean"), F.count(F.lit(1)).alias("n")).first()
+    meta = [("avgdl", facts["mean"] or 0.0), ("build_time", time.time()), ("files", float(facts["n"])), ("lcep_chunks", float(lcep_chunks)), ("lcep_max_files", -1.0 if lcep_max_files is None else float(lcep_max_files))]
+    return Index(files, rows.drop("df"), phrases, keep(files.sparkSession.createDataFrame(meta, "key string, value double").coalesce(1), "meta"), raw)
+
+
+def build(corpus: DataFrame, lcep_chunks: int = CHUNKS, lcep_max_files: int | None = None) -> Index:
+    """Full build over ``corpus (file_path, text)``.  ``lcep_chunks=0`` leaves left contexts out, and so does, if given, a corpus of more than ``lcep_max_files``."""
+    read = keep(extract(corpus), "extracted")
+    return finish(read.where("phrase is null").select(*FACTS), read.where("phrase is not null").select(*OCC), lcep_chunks, lcep_max_files)

@@ -2,7 +2,8 @@
 
 Files in path order form ``chunks`` contiguous chunks.  In each chunk, a
 lower-cased phrase takes its first occurrence that has a left word and is among the first five
-occurrences of its exact spelling.
+occurrences of its exact spelling.  All of it comes from the left words that ``extract`` keeps with each
+(file, phrase), so texts are not read again.
 """
 
 from __future__ import annotations
@@ -10,36 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..plans.scratch import ranked
+from .extract import SAMPLES
 
-FIRST = 5
 
-
-def contexts(corpus: DataFrame, chunks: int) -> DataFrame:
-    """``chunk, phrase_lc, word``: the accepted samples."""
-    files = ranked(corpus.select("file_path", "text"), "file_path", "file_id")
-    n = F.lit(files.count())
-    size = F.greatest(F.lit(1), F.floor(n / chunks))
-    lines = files.select("file_id", F.floor((F.col("file_id") - 1) / size).alias("chunk"), F.posexplode(X.lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
-    # A left word is the word before, or what stands before the identifier in its own word: lines need not travel.
-    words = F.split(X.trimmed(F.col("line")), r"(?U)\s+")
-    pairs = F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.struct(i.alias("at"), w.alias("own"), F.when(i > 0, F.get(ws, i - 1)).otherwise("").alias("before"))))[0]
-    tokens = lines.select("chunk", "file_id", "line_no", F.inline(pairs)).select("chunk", "file_id", "line_no", "at", "own", "before", F.posexplode(X.identifiers(F.col("own"))).alias("nth", "phrase"))
-    order = ("file_id", "line_no", "at", "nth")
-    # A limit per group: each task keeps five rows of a phrase before the shuffle.
-    early = tokens.withColumn("k", F.row_number().over(Window.partitionBy("chunk", "phrase").orderBy(*order))).where(F.col("k") <= FIRST)
-    inside = prefix(F.col("own"), F.col("nth"))
-    early = early.withColumn("word", X.left_word(F.when(inside == "", F.col("before")).otherwise(inside))).where(F.col("word") != "").withColumn("phrase_lc", F.lower("phrase"))
-    first = early.withColumn("j", F.row_number().over(Window.partitionBy("chunk", "phrase_lc").orderBy(*order))).where(F.col("j") == 1)
-    return first.select("chunk", "phrase_lc", "word")
-
-
-def prefix(line: Column, nth: Column) -> Column:
-    """What stands before the nth identifier (from 0) of a text: the text is its gaps and identifiers in turn."""
-    gaps, names = F.split(line, X.IDENTIFIER, -1), X.identifiers(line)
-    length = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    return F.substr(line, F.lit(1), length(gaps, nth + 1) + length(names, nth))
+def contexts(files: DataFrame, raw: DataFrame, chunks: int, word: Column | str = "word") -> DataFrame:
+    """``chunk, phrase_lc, word``: the accepted samples of ``raw`` occurrences, over all ``files``; ``word`` may be a hash of the word."""
+    ids = ranked(files.select("file_path"), "file_path", "file_id")
+    size = F.greatest(F.lit(1), F.floor(F.lit(files.count()) / chunks))
+    ids = ids.select("file_path", "file_id", F.floor((F.col("file_id") - 1) / size).alias("chunk"))
+    rows = raw.withColumn("word", word if isinstance(word, Column) else F.col(word)).select("phrase", "file_path", "cnt", "word", "spot", "nth").join(ids, "file_path").drop("file_path")
+    in_order = Window.partitionBy("chunk", "phrase").orderBy("file_id")
+    # A limit per group: each task keeps five files of a phrase before the shuffle, as every file has one occurrence at least.
+    early = rows.withColumn("k", F.row_number().over(in_order)).where(F.col("k") <= SAMPLES)
+    before = F.sum("cnt").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cnt")
+    seen = early.withColumn("before", before).where((F.col("nth") > 0) & (F.col("before") + F.col("nth") <= SAMPLES))
+    least = F.min(F.struct("file_id", "spot", "word"))
+    return seen.groupBy("chunk", F.lower("phrase").alias("phrase_lc")).agg(least.alias("first")).select("chunk", "phrase_lc", F.col("first.word").alias("word"))
 
 
 def entropy(samples: DataFrame) -> DataFrame:
@@ -49,6 +37,6 @@ def entropy(samples: DataFrame) -> DataFrame:
     return total.where("t >= 3").select("phrase_lc", (F.log2("t") - F.col("s") / F.col("t")).alias("entropy"))
 
 
-def phrase_entropy(corpus: DataFrame, chunks: int) -> DataFrame:
+def phrase_entropy(files: DataFrame, raw: DataFrame, chunks: int) -> DataFrame:
     """``phrase, entropy``: only all-lower-case phrases have one, as samples are keyed by lower case."""
-    return entropy(contexts(corpus.where("text is not null"), chunks)).withColumnRenamed("phrase_lc", "phrase")
+    return entropy(contexts(files, raw, chunks, F.xxhash64("word"))).withColumnRenamed("phrase_lc", "phrase")

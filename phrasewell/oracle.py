@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions.text import identifier_list
 from .operators.search import candidates
-from .queries import CHUNKS, NAME, QUERY
+from .queries import CHUNKS, NAME, QUERY, TASK
 
 ID = "[A-Za-z_][A-Za-z0-9_]{2,}"
 
@@ -51,7 +51,7 @@ samples AS MATERIALIZED (SELECT chunk, lower(phrase) AS phrase_lc, word FROM (SE
 entropy AS MATERIALIZED (SELECT phrase_lc, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM (SELECT phrase_lc, word, count(*) AS n FROM samples GROUP BY ALL) GROUP BY phrase_lc HAVING sum(n) >= 3)"""
 INDEX = """occ AS MATERIALIZED (SELECT phrase, file_path, CASE WHEN zone = 0 AND df < 20 AND entropy < 1 THEN 2 WHEN zone = 0 AND df < 20 AND entropy < 2 THEN greatest(is_def, 1)
     WHEN zone = 0 AND df >= 20 AND entropy > 2.5 THEN 0 ELSE is_def END AS is_def, zone, cnt, first_line, df
-  FROM raw_occ JOIN phrases USING (phrase) LEFT JOIN (SELECT phrase_lc AS phrase, entropy FROM entropy WHERE (SELECT count(*) FROM corpus) <= 5000) USING (phrase)),
+  FROM raw_occ JOIN phrases USING (phrase) LEFT JOIN (SELECT phrase_lc AS phrase, entropy FROM entropy) USING (phrase)),
 facts AS (SELECT file_path, coalesce(strlen(text), 0) AS content_len FROM corpus),
 ratio AS (SELECT file_path, avg(CASE WHEN regexp_matches(s, '^(#|//|/\\*|\\*|<!--|>)') THEN 1.0 ELSE 0.0 END) AS comment_ratio FROM zoned GROUP BY file_path),
 stats AS (SELECT file_path, count(*) AS token_len, sum(CASE WHEN is_def >= 1 AND df = 1 THEN 1 ELSE 0 END) AS unique_def_count, sum(CASE WHEN is_def >= 1 THEN 1 ELSE 0 END) AS total_def_count FROM occ GROUP BY file_path),
@@ -63,7 +63,6 @@ TEXT = f"WITH {CORPUS}, {LINES}"
 ZONED = f"{TEXT}, {ZONE}"
 TOKEN = f"{ZONED}, {TOKENS}"
 FULL = f"{TOKEN}, {RAW}, {LCEP}, {INDEX}"
-PLAIN = FULL.replace("<= 5000", "< 0")
 
 TARGET = "target AS (SELECT file_path AS t FROM occ WHERE is_def >= 1 AND df BETWEEN 2 AND 3 GROUP BY file_path ORDER BY count(*) DESC, file_path LIMIT 1)"
 PAGE = "target AS (SELECT min(file_path) AS t FROM files WHERE file_path LIKE 'pages/%')"
@@ -124,7 +123,8 @@ result AS MATERIALIZED (SELECT file_path, base * {PATH_ROLE} * ({coverage(raw)})
     return out
 
 
-def requery(query: str, top_n: int) -> str:
+def requery(query: str, top_n: int, start: str = "") -> str:
+    """CTEs and the final SELECT of a search with its second try; with ``start``, a query of its own."""
     raw = identifier_list(query)
     path = "lower(file_path)"
     all_in = " AND ".join(f"contains({path}, {quoted(t.lower())})" for t in raw)
@@ -135,7 +135,7 @@ def requery(query: str, top_n: int) -> str:
     second = " UNION ALL ".join(
         f"SELECT {i} AS i, file_path, score * (1 + (1 + " + (" + ".join(f"CASE WHEN contains({path}, {quoted(u.lower())}) THEN 1 ELSE 0 END" for j, u in enumerate(raw) if j != i) or "0") + f") / {len(raw)}.0) AS score FROM result_b{i}" for i in range(len(raw))
     )
-    return f"""{', '.join(parts)}, choice AS (SELECT i FROM ({weigh}) ORDER BY w DESC, i DESC LIMIT 1),
+    return f"""{start}{', '.join(parts)}, choice AS (SELECT i FROM ({weigh}) ORDER BY w DESC, i DESC LIMIT 1),
 second AS MATERIALIZED (SELECT file_path, score FROM ({second}) WHERE i = (SELECT i FROM choice) QUALIFY row_number() OVER (ORDER BY round(score, 6) DESC, file_path) <= {top_n}),
 top_a1 AS (SELECT file_path FROM result_a ORDER BY round(score, 6) DESC, file_path LIMIT 1), top_s AS (SELECT file_path FROM second ORDER BY round(score, 6) DESC, file_path LIMIT 1),
 stay AS (SELECT coalesce((SELECT {all_in} FROM top_a1), false) OR (SELECT file_path FROM top_a1) IS NOT DISTINCT FROM (SELECT file_path FROM top_s) AS s)
@@ -156,8 +156,8 @@ calls AS (SELECT file_path, ({WEIGHT})::DOUBLE AS score FROM occ, home WHERE phr
 SETS = "sets AS (SELECT file_path, list_sort(list(first_line)) AS ls FROM occ WHERE phrase IN ('token', 'the', 'and', 'example', 'href') AND first_line > 0 GROUP BY file_path)"
 
 
-def plan_sql() -> str:
-    terms = [t.lower() for t in identifier_list(QUERY)]
+def plan_sql(task: str = QUERY) -> str:
+    terms = [t.lower() for t in identifier_list(task)]
     rows = ", ".join(f"({quoted(t)}, {terms.count(t)})" for t in dict.fromkeys(terms))
     return f"""plan AS MATERIALIZED (SELECT file_path, sum(ln((n - 4.5) / 5.5 + 1) * ln(1 + tf) * 2.2 / (ln(1 + tf) + 1.2 * (0.25 + 0.75 * token_len / avgdl)) * CASE WHEN is_def > 0 THEN 5.0 ELSE 1.0 END * k) AS score
   FROM (SELECT *, CASE WHEN cnt > 30 THEN 1 ELSE cnt END AS tf FROM occ JOIN (VALUES {rows}) v(phrase, k) USING (phrase) QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY file_path) <= 50) JOIN files USING (file_path), nums
@@ -165,13 +165,49 @@ def plan_sql() -> str:
 
 
 NOT_FIXTURES = r"(\.(md|json|yml|yaml|toml|txt|html|css)$)|^artifacts/|^node_modules/|web/templates|BACKLOG|CRITICAL"
-HOME_SQL = """named AS (SELECT phrase FROM occ WHERE regexp_matches(phrase, '^[A-Z]') AND length(phrase) > 3 AND is_def >= 1 GROUP BY phrase),
-tested AS (SELECT file_path AS test FROM occ WHERE file_path LIKE 'tests/%' AND phrase IN (SELECT phrase FROM named) GROUP BY file_path ORDER BY count(*) DESC, file_path LIMIT 1),
+ROLES = "SELECT CASE page_id % 3 WHEN 1 THEN 'tests/page_' || page_id || '.test.tsx' WHEN 0 THEN 'src/page_' || page_id || '.tsx' ELSE 'lib/page_' || page_id || '.tsx' END AS file_path, html AS text FROM pages"
+HOME_SQL = """homes AS (SELECT phrase, min(file_path) AS home FROM occ WHERE regexp_matches(phrase, '^[A-Z]') AND length(phrase) > 3 AND is_def >= 1 GROUP BY phrase),
+target AS (SELECT min(file_path) AS t FROM files WHERE file_path LIKE 'src/%'),
+tested AS (SELECT file_path AS test FROM occ JOIN homes USING (phrase) WHERE file_path LIKE 'tests/%' AND file_path <> home GROUP BY file_path ORDER BY count(*) DESC, file_path LIMIT 1),
 fix AS (SELECT phrase, min(file_path) AS file_path FROM occ, target, tested
   WHERE is_def >= 1 AND file_path NOT IN (t, test) AND phrase IN (SELECT phrase FROM occ WHERE file_path = (SELECT test FROM tested) AND regexp_matches(phrase, '^[A-Z]') AND length(phrase) > 3)
   GROUP BY phrase ORDER BY phrase LIMIT 20)"""
 
 
+def hop_sql(depth: int) -> str:
+    """CTEs ``hop1`` to ``hop<depth>`` (file_path, score, place): files that the hop before leads to, by its first file that does, unseen ones only."""
+    out = [f"{CALLS}, hop1 AS (SELECT file_path, score, row_number() OVER (ORDER BY file_path) AS place FROM calls)"]
+    for d in range(2, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT file_path FROM hop{k}" for k in range(1, d))
+        out.append(f"""hop{d} AS (SELECT file_path, score * {0.5 ** (depth - 1)} AS score, row_number() OVER (ORDER BY place, s, file_path) AS place FROM (
+  SELECT l.file_path, l.score, h.place, -l.score AS s FROM latent l JOIN hop{d - 1} h ON l.origin = h.file_path QUALIFY row_number() OVER (PARTITION BY l.file_path ORDER BY h.place, l.score DESC) = 1)
+  WHERE file_path NOT IN ({seen}))""")
+    return ", ".join(out)
+
+
+def answer_sql() -> str:
+    """CTE ``answer``: the edit plan of TASK, lists joined by commas."""
+    some = lambda where: f"(SELECT coalesce(string_agg(file_path, ',' ORDER BY r), '') FROM best10 WHERE {where})"
+    return f"""{plan_sql(TASK)}, best10 AS MATERIALIZED (SELECT file_path, score, row_number() OVER (ORDER BY round(score, 6) DESC, file_path) AS r FROM plan),
+verified AS MATERIALIZED (SELECT file_path, row_number() OVER (ORDER BY r) AS v, r FROM best10 WHERE contains(file_path, 'test') ORDER BY r LIMIT 3),
+helped AS (SELECT v, o.phrase, min(o.file_path) AS file_path FROM verified t JOIN occ m ON m.file_path = t.file_path JOIN occ o ON o.phrase = m.phrase
+  WHERE v <= 2 AND regexp_matches(m.phrase, '^[A-Z]') AND length(m.phrase) > 3 AND o.is_def >= 1 AND o.file_path <> t.file_path AND o.file_path <> (SELECT file_path FROM best10 WHERE r = 1)
+  GROUP BY v, o.phrase QUALIFY row_number() OVER (PARTITION BY v ORDER BY o.phrase) <= 20),
+answer AS MATERIALIZED (SELECT {some('r = 1')} AS edit, {some('r <= 3')} AS read_first, {some('r BETWEEN 2 AND 5')} AS coupled,
+  (SELECT coalesce(string_agg(file_path, ',' ORDER BY r), '') FROM verified) AS verify,
+  (SELECT coalesce(string_agg(phrase || ': ' || file_path, ',' ORDER BY v, phrase), '') FROM helped WHERE NOT regexp_matches(file_path, '{NOT_FIXTURES}')) AS fixtures,
+  CASE WHEN NOT EXISTS (FROM best10) THEN 'unknown' WHEN (SELECT score FROM best10 WHERE r = 1) > 10 THEN 'low' ELSE 'moderate' END AS risk)"""
+
+
+def callers_sql() -> str:
+    """CTE ``all_calls`` (file_path, score): callers of the first ten identifiers of TASK, repeats counted."""
+    raw = identifier_list(TASK)[:10]
+    rows = ", ".join(f"({quoted(t)}, {raw.count(t)})" for t in dict.fromkeys(raw))
+    return f"""asked(name, k) AS (VALUES {rows}),
+homed AS (SELECT name, file_path AS h FROM (SELECT name, file_path, is_def FROM occ JOIN asked ON phrase = name QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path) <= 5) WHERE is_def >= 1 QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path) = 1),
+all_calls AS (SELECT file_path, sum(w * k)::DOUBLE AS score FROM (SELECT name, file_path, {WEIGHT} AS w, k FROM occ JOIN homed ON phrase = name JOIN asked USING (name) WHERE file_path <> h QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path) <= 20) GROUP BY file_path)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "lines": f"{TEXT} SELECT file_path, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM lines GROUP BY file_path",
@@ -207,18 +243,25 @@ def oracle_sql() -> dict[str, str]:
         "proximity_bonus": f"""{FULL}, {SETS}, each AS (SELECT file_path, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM sets)
             SELECT file_path, round(coalesce(avg(CASE WHEN abs(a.x - b.x) <= 10 THEN (11 - abs(a.x - b.x)) / 10.0 ELSE 0 END) * 0.5, 0), 6) AS bonus FROM sets LEFT JOIN each a USING (file_path) LEFT JOIN each b ON a.file_path = b.file_path AND a.i < b.i WHERE b.i IS NOT NULL OR len(ls) < 2 GROUP BY file_path""",
         "who_calls": f"{FULL}, {CALLS} SELECT file_path, score FROM calls",
+        "trace_callers": f"{FULL}, {LATENT}, {hop_sql(3)} SELECT file_path, score, 1 AS hop FROM hop1 UNION ALL SELECT file_path, score, 2 FROM hop2 UNION ALL SELECT file_path, score, 3 FROM hop3",
         "latent_deps": f"{FULL}, {TARGET}, {LATENT} SELECT file_path, score FROM latent, target WHERE origin = t",
         "blast_radius": f"""{FULL}, {PAGE}, mine AS (SELECT phrase, {WEIGHT} AS w FROM (SELECT occ.* FROM occ, target WHERE file_path = t ORDER BY phrase LIMIT 50) WHERE is_def > 0)
             SELECT file_path, sum(w)::DOUBLE AS score FROM (SELECT o.file_path, w FROM occ o JOIN mine USING (phrase), target WHERE file_path <> t QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY file_path) <= 10) GROUP BY file_path ORDER BY score DESC, file_path LIMIT 20""",
         "verify_candidates": f"""{FULL}, {TARGET} SELECT file_path, count(*)::DOUBLE AS score FROM (SELECT o.* FROM occ o, target WHERE o.file_path <> t AND (o.file_path ILIKE '%test%' OR o.file_path ILIKE '%spec%')
             AND phrase IN (SELECT phrase FROM occ, target WHERE file_path = t) ORDER BY phrase, o.file_path LIMIT 500) WHERE is_def > 0 GROUP BY file_path ORDER BY score DESC, file_path LIMIT 10""",
-        "fixtures": f"{FULL}, {TARGET}, {HOME_SQL} SELECT phrase, file_path FROM fix WHERE NOT regexp_matches(file_path, '{NOT_FIXTURES}')",
+        "fixtures": f"{FULL.replace(CORPUS, f'corpus AS MATERIALIZED ({ROLES})')}, {HOME_SQL} SELECT phrase, file_path FROM fix WHERE NOT regexp_matches(file_path, '{NOT_FIXTURES}')",
         "plan_scores": f"{FULL}, {plan_sql()} SELECT file_path, round(score, 6) AS score FROM plan",
+        "edit_plan": f"{FULL}, {answer_sql()} SELECT * FROM answer",
+        "code_search": f"""{FULL}, {answer_sql()}, {callers_sql()}, {LATENT},
+            files15 AS (SELECT * FROM ({requery(TASK, 15, 'WITH ')}))
+            SELECT (SELECT coalesce(string_agg(file_path, ',' ORDER BY score DESC, file_path), '') FROM files15) AS files, edit, verify, risk, read_first AS read_order, coupled, fixtures,
+              (SELECT coalesce(string_agg(file_path, ',' ORDER BY score DESC, file_path), '') FROM all_calls) AS who_calls,
+              (SELECT coalesce(string_agg(file_path, ',' ORDER BY score DESC, file_path), '') FROM latent WHERE origin = edit) AS hidden_deps FROM answer""",
         "orient": f"""WITH {CORPUS} SELECT ext, count(*) AS files FROM (SELECT regexp_extract(file_path, '([^.]*)$', 1) AS ext FROM corpus) WHERE strlen(ext) <= 6 GROUP BY ext ORDER BY files DESC, ext LIMIT 8""",
         "health": f"{FULL} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM phrases) AS phrases, (SELECT count(*) FROM occ) AS occurrences, round(avgdl, 6) AS avgdl FROM nums",
         "changed_files": f"""WITH old AS ({DOCS}), new AS (SELECT file_path, CASE WHEN length(file_path) % 3 = 0 THEN left(text, length(text) - 1) ELSE text END AS text FROM ({DOCS} UNION ALL {PAGES}))
             SELECT * FROM (SELECT coalesce(n.file_path, o.file_path) AS file_path, CASE WHEN o.file_path IS NULL THEN 'new' WHEN n.file_path IS NULL THEN 'deleted' WHEN o.text <> n.text THEN 'changed' END AS change FROM old o FULL JOIN new n USING (file_path)) WHERE change IS NOT NULL""",
-        "incremental": f"{PLAIN} SELECT file_path, token_len, unique_def_count, total_def_count FROM files",
+        "incremental": f"{FULL} SELECT file_path, token_len, unique_def_count, total_def_count FROM files",
         "find_hash": "SELECT sha256(html) AS hash, 'pages/' || page_id || '.html' AS name, least(strlen(html), 51216) AS bytes FROM pages WHERE sha256(html) = (SELECT min(sha256(html)) FROM pages)",
         "find_name": "SELECT sha256(html) AS hash, 'pages/' || page_id || '.html' AS name FROM pages WHERE 'pages/' || page_id || '.html' ILIKE '%S/1%' ORDER BY name, hash LIMIT 20",
     }

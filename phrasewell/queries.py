@@ -13,12 +13,13 @@ from .operators import bodies, index as I, lcep, risk
 from .operators import search as R
 from .plans import answers
 from .plans.scratch import keep
-from .sources.corpus import documents_corpus, pages_corpus, table_corpus
+from .sources.corpus import documents_corpus, pages_as_sources, pages_corpus, table_corpus
 from .streaming import refresh
 
-CHUNKS = 8
+CHUNKS = I.CHUNKS
 QUERY = "token Licensed mails_example ther"
 NAME = "token"
+TASK = "token Licensed the example"
 
 _built: dict[tuple[str, str], I.Index] = {}
 
@@ -69,11 +70,12 @@ def definition_hits(spark, sf_dir):
 
 
 def left_context(spark, sf_dir):
-    return lcep.contexts(table_corpus(spark, sf_dir), CHUNKS)
+    i = index_of(spark, sf_dir)
+    return lcep.contexts(i.files, i.raw, CHUNKS)
 
 
 def entropy(spark, sf_dir):
-    return rounded(lcep.entropy(lcep.contexts(table_corpus(spark, sf_dir), CHUNKS)), "entropy")
+    return rounded(lcep.entropy(left_context(spark, sf_dir)), "entropy")
 
 
 def digest(spark, sf_dir):
@@ -118,13 +120,13 @@ def lcep_override(spark, sf_dir):
 
 def classify_def(spark, sf_dir):
     i = index_of(spark, sf_dir)
-    known = lcep.entropy(lcep.contexts(table_corpus(spark, sf_dir), CHUNKS)).withColumnRenamed("phrase_lc", "phrase")
+    known = lcep.phrase_entropy(i.files, i.raw, CHUNKS)
     return i.phrases.join(known, "phrase", "left").select("phrase", "df", S.classify_definition(F.col("df"), F.col("entropy")).alias("kind"))
 
 
 def bm25_idf(spark, sf_dir):
     i = index_of(spark, sf_dir)
-    n = F.lit(float(i.files.count()))
+    n = F.lit(i.number("files", 1.0))
     return rounded(i.phrases.select("phrase", "df", S.bm25_idf(n, F.col("df")).alias("idf")), "idf")
 
 
@@ -133,7 +135,7 @@ def _tier(spark, sf_dir, tier: int) -> DataFrame:
     raw = R.identifier_list(QUERY)
     df = R.frequencies(i, [t for t, _ in R.candidates(raw)])
     terms = R.expand(raw, lambda t: df.get(t, 0) > 0)
-    n = i.files.count()
+    n = i.number("files", 1.0)
     idf = {t: R.idf_of(n, max(df.get(t, 0), 0.5)) for t in terms}
     rows = R.contributions(i, R.tier_hits(i, idf, (tier,)), i.number("avgdl", 100.0))
     return rounded(rows.groupBy("file_path", "term").agg(F.max("score").alias("score")), "score")
@@ -217,21 +219,30 @@ def verify_candidates(spark, sf_dir):
 
 
 def fixtures(spark, sf_dir):
-    i = index_of(spark, sf_dir)
-    # The test that mentions most capitalised phrases that are defined somewhere; ties by path.
-    names = i.occ.where(F.col("phrase").rlike("^[A-Z]") & (F.length("phrase") > 3) & (F.col("is_def") >= 1)).select("phrase").distinct()
-    tests = i.occ.where(F.col("file_path").startswith("tests/")).join(names, "phrase", "left_semi")
+    """On pages as components and tests: the test that mentions most capitalised phrases defined in another file, against the first component."""
+    key = (spark.sparkContext.applicationId, sf_dir + "#pages")
+    if key not in _built:
+        _built[key] = I.build(pages_as_sources(spark, sf_dir), CHUNKS)
+    i = _built[key]
+    homes = i.occ.where(F.col("phrase").rlike("^[A-Z]") & (F.length("phrase") > 3) & (F.col("is_def") >= 1)).groupBy("phrase").agg(F.min("file_path").alias("home"))
+    tests = i.occ.where(F.col("file_path").startswith("tests/")).join(homes, "phrase").where("file_path <> home")
     test = tests.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "file_path").first()
-    return risk.find_fixtures(i, target(i), test["file_path"] if test else "")
+    source = i.files.where(F.col("file_path").startswith("src/")).agg(F.min("file_path")).first()[0]
+    return risk.find_fixtures(i, source or "", test["file_path"] if test else "")
 
 
 def plan_scores(spark, sf_dir):
     return rounded(risk.plan_scores(index_of(spark, sf_dir), QUERY), "score")
 
 
+def _answer(spark, answer: dict) -> DataFrame:
+    """One row: lists joined by commas."""
+    row = {k: v if isinstance(v, str) else ",".join(v) for k, v in answer.items()}
+    return spark.createDataFrame([row], ", ".join(f"{k} string" for k in row))
+
+
 def edit_plan(spark, sf_dir):
-    plan = risk.edit_plan(index_of(spark, sf_dir), QUERY)
-    return spark.createDataFrame([plan], "edit array<string>, read_first array<string>, coupled array<string>, verify array<string>, fixtures array<string>, risk string")
+    return _answer(spark, risk.edit_plan(index_of(spark, sf_dir), TASK))
 
 
 def orient(spark, sf_dir):
@@ -239,11 +250,11 @@ def orient(spark, sf_dir):
 
 
 def health(spark, sf_dir):
-    return rounded(answers.health(index_of(spark, sf_dir)), "avgdl")
+    return rounded(answers.health(index_of(spark, sf_dir)).select("files", "phrases", "occurrences", "avgdl"), "avgdl")
 
 
 def code_search(spark, sf_dir):
-    return spark.createDataFrame([(answers.code_search(index_of(spark, sf_dir), QUERY, True, True),)], "answer string")
+    return _answer(spark, answers.code_answer(index_of(spark, sf_dir), TASK, True, True, deadline=None))
 
 
 def changed_files(spark, sf_dir):
@@ -263,7 +274,7 @@ def incremental(spark, sf_dir):
 def _documents_index(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir + "#documents")
     if key not in _built:
-        _built[key] = I.build(documents_corpus(spark, sf_dir), 0)
+        _built[key] = I.build(documents_corpus(spark, sf_dir), CHUNKS)
     return _built[key]
 
 

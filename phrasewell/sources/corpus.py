@@ -39,6 +39,11 @@ def scan_directory(spark: SparkSession, root: str, limit: int = MAX_FILES) -> Da
     return files.select("file_path", text.alias("text"), F.octet_length("content").cast("long").alias("content_len"), F.sha2("content", 256).alias("digest"), F.col("modificationTime").alias("mtime"))
 
 
+def scan_times(spark: SparkSession, root: str) -> DataFrame:
+    """``file_path, mtime`` of the source files below ``root``: a listing, no file is opened."""
+    return scan_directory(spark, root).select("file_path", "mtime")
+
+
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as files of several roles and modules; a null source, lang or doc_id stands as ``_`` in the path."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -54,6 +59,15 @@ def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("text"))
 
 
+def pages_as_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages alone, as components (two of three) and their tests."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    number = F.coalesce("page_id", F.lit(0))
+    stem = F.concat(F.lit("page_"), number.cast("string"))
+    path = F.when(number % 3 == 1, F.concat(F.lit("tests/"), stem, F.lit(".test.tsx"))).when(number % 3 == 0, F.concat(F.lit("src/"), stem, F.lit(".tsx"))).otherwise(F.concat(F.lit("lib/"), stem, F.lit(".tsx")))
+    return p.select(path.alias("file_path"), F.col("html").alias("text"))
+
+
 def table_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages together."""
     return documents_corpus(spark, sf_dir).unionByName(pages_corpus(spark, sf_dir))

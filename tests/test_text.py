@@ -17,10 +17,10 @@ def column(spark, values, kind, expression):
 
 
 def test_identifiers(spark):
-    texts = ["", "über cool", "!@#$%^&*()", "fn SpoolManager uploadEvents", "a an the", "_private __dunder__", "9abc", "alpha beta gamma delta " * 100]
+    texts = ["", "fünf Öfen", "?.,~`", "KilnDriver sets targetHeat", "is it hot", "_ash ___ x_1", "7kilns 2go", "ash kiln " * 250]
     got = column(spark, texts, "string", X.identifiers)
-    assert got[:7] == [[], ["ber", "cool"], [], ["SpoolManager", "uploadEvents"], ["the"], ["_private", "__dunder__"], ["abc"]]
-    assert len(got[7]) == 400
+    assert got[:7] == [[], ["fen"], [], ["KilnDriver", "sets", "targetHeat"], ["hot"], ["_ash", "___", "x_1"], ["kilns"]]
+    assert len(got[7]) == 500
     assert [X.identifier_list(t) for t in texts] == got
 
 
@@ -29,18 +29,18 @@ def test_lines(spark):
 
 
 @pytest.mark.parametrize("line,zone", [
-    ("fn main() {", 0), ("let x = 42;", 0), ("#include <stdio.h>", 0), ("#!/usr/bin/env python3", 0), ("", 1), ("// note", 1), ("# Python-style comment", 1),
-    ("* bullet point", 1), ("<!-- x -->", 1), ("> quoted", 1), ("/* c", 1), ("   ", 1), ("12 34", 1), ("#x", 1), ("a quick hello", 1),
+    ("while (kiln.hot) {", 0), ("heat += step;", 0), ("#ifdef KILN", 0), ("#!/bin/sh", 0), ("", 1), ("// fired twice", 1), ("# cooling plan", 1),
+    ("* slip", 1), ("<!-- ash -->", 1), ("> said", 1), ("/* glaze */", 1), (" \t ", 1), ("7 + 8", 1), ("#!", 0), ("an old pot", 1), ("warm days pass slowly", 0), ("x=kiln(7);y[2]", 0),
 ])
 def test_line_zone(spark, line, zone):
     assert column(spark, [line], "string", X.line_zone) == [zone]
 
 
 def test_definitions(spark):
-    lines = ["fn foo() {", "struct Foo {", "fn bar<T>(x: T)", "bar(foo)", "x.foo()", "let y = foo + 1;", "class Foo extends Bar {", "map->next"]
+    lines = ["def fire(kiln):", "impl Kiln {", "let heap<Clay>", "fire(kiln)", "kiln.fire()", "ash + kiln - 2", "enum Glaze: Int {", "pot->next"]
     got = column(spark, lines, "string", X.definitions)
-    assert "foo" in got[0] and "Foo" in got[1] and "bar" in got[2] and "map" in got[7]
-    assert "foo" not in got[3] and "foo" not in got[4] and "foo" not in got[5]
+    assert "fire" in got[0] and "Kiln" in got[1] and "heap" in got[2] and "pot" in got[7] and "Glaze" in got[6]
+    assert "kiln" not in got[3] and "fire" not in got[4] and got[5] == []
 
 
 def test_pack_flags(spark):
@@ -83,7 +83,7 @@ def test_path_role(spark):
 
 
 def test_filename_coverage(spark):
-    assert column(spark, ["src/spool_retry.ts", "a.ts"], "string", lambda p: S.filename_coverage(p, ["spool", "upload", "spool-retry"])) == pytest.approx([1 + 2 / 3, 1.0])
+    assert column(spark, ["src/kiln_heat.ts", "a.ts"], "string", lambda p: S.filename_coverage(p, ["kiln", "glaze", "kiln-heat"])) == pytest.approx([1 + 2 / 3, 1.0])
 
 
 def test_proximity(spark):
@@ -111,8 +111,8 @@ def test_entropy(spark):
 
 def test_expansion():
     assert stems("running") == ["runn"] and stems("items") == ["item"] and stems("created") == ["creat"] and stems("option") == ["op"]
-    assert compounds("gen_server_call") == ["gen", "server", "call", "gen_server", "server_call"] and compounds("plain") == []
-    assert expand(["ArrayList"], lambda t: True) == ["ArrayList"]
-    assert expand(["ArrayList"], lambda t: False) == ["ArrayList", "arraylist"]
+    assert compounds("big_kiln_door") == ["big", "kiln", "door", "big_kiln", "kiln_door"] and compounds("plain") == []
+    assert expand(["ClayPot"], lambda t: True) == ["ClayPot"]
+    assert expand(["ClayPot"], lambda t: False) == ["ClayPot", "claypot"]
     assert expand(["a_bcd_efg"], lambda t: True) == ["a_bcd_efg"]
     assert candidates([]) == []
