@@ -7,7 +7,8 @@
 4. The rules compile into one column expression: scoring is a projection, no user function and no shuffle.
 
 Labels are 0 or 1; null labels are ignored, and so are documents with both.
-Null text counts as empty and gets a score like any other.  Without labels
+Null text counts as empty and gets a score like any other; very long texts are measured whole.  Ties: equal statistics give equal scores, and
+equal gains split on the first statistic.  Other columns pass through, and an existing one of the score's name is replaced.  Without labels
 every score is 0.5; with one class only, it is close to that class.  Repeated
 rows get equal scores.  An empty table gives an empty result.
 """

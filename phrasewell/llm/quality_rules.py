@@ -3,8 +3,9 @@
 No user function runs: every metric is a column expression over the whole
 text, and the rules become one boolean column.  There is no shuffle.
 
-Null or empty text has no words and fails the base rule.  Extra columns are
-kept; the operator adds only columns under one struct, so names cannot clash.
+Null or empty text has no words and fails the base rule.  Very long texts are measured whole.  Rows are
+independent, so repeated rows share a verdict, and a value on a threshold passes.  Extra columns are kept; all
+that is added lies in one struct, and an existing column of its name is replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -810,6 +810,84 @@ def test_quality_model(spark, docs, empty):
     assert quality_model.score(empty, model).count() == 0
 
 
+def test_quality_model_on_held_out_rows(spark):
+    """Through the query: rows of the held-out remainder are not learned from, and are told apart."""
+    from zlib import crc32
+
+    from phrasewell.llm import queries
+
+    got = queries.op5_quality_model(spark, "/root/testdata/sf0.01").collect()
+    label = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out and label.get(r.doc_id) is not None]
+    assert len(held) > 50 and np.mean([(r.score >= 0.5) == (label[r.doc_id] == 1) for r in held]) >= 0.95
+
+
+def test_labels_of_held_out_rows_change_nothing(spark, tmp_path):
+    from phrasewell.llm import queries
+
+    rows = [(i, sentence(i, 60) if i % 3 else "### " * 40 + sentence(i, 5)) for i in range(160)]
+    for name, flip in (("a", False), ("b", True)):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(160)], "doc_id long, quality int")
+        if flip:
+            labels = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    one, two = (sorted(map(tuple, queries.op5_quality_model(spark, str(tmp_path / n)).collect())) for n in "ab")
+    assert one == two
+
+
+def test_existing_columns_of_a_result_are_replaced(spark):
+    df = spark.createDataFrame([(1, "some words", "old", "old", "x")], "doc_id long, text string, quality string, score string, other string")
+    row = quality_rules.apply_rules(df).first()
+    assert row.quality.metrics.n_words == 2 and row.other == "x" and row.score == "old"
+    assert 0 < quality_model.score(df, quality_model.Ensemble(0.0, ())).first().score < 1
+
+
+def test_licenses_query(spark, tmp_path):
+    """Base fields of the query against all places of the phrases."""
+    from phrasewell.llm import queries
+
+    rows = list(enumerate([*texts(), "under the MIT license, cc by-nc; under the mit license", "Apache License, Version 2 and apache license version 20", MIT])) + [(None, "CC-BY-NC"), (3, "cc by nc"), (3, "cc by nc")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        places = [(k, label) for p, label in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        at = [k for k, _ in places]
+        want[i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in places}))] += 1
+    got = queries.op2_licenses(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == want
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1 for r in got)
+
+
+def test_bpe_and_mixing_queries(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from phrasewell.llm import queries
+
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    lib.no_truncation()
+    lib.no_padding()
+    rows = [(i, t, "en", ["a", None][i % 2], 1) for i, t in enumerate(texts())] + [(None, "no id", None, "a", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter()
+    for i, t, *_ in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(lib.decode(ids, skip_special_tokens=False).encode())] += 1
+    assert Counter(map(tuple, queries.op9_bpe(spark, str(tmp_path)).collect())) == want
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    goal = mixing.targets(dict(sizes), (3, 1, 2), 1.5, 2.0)
+    source = {i: s for i, _, _, s, _ in rows}
+    got = queries.op1_mixing(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(WORD.findall(t or ""))) for i, t, *_ in rows)
+    assert all(r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(goal[source[r.doc_id]]) and r.taken <= 2 * r["size"] for r in got)
+
+
 def test_rules_agree_with_their_columns(spark, docs):
     stats = docs.select(quality_model.statistics(F.col("text")).alias("s")).select("s.*").collect()
     x = np.array([[r[c] for c in quality_model.STATISTICS] for r in stats], float)
