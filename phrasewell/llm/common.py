@@ -53,7 +53,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/phrasewell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     _made[_owner.get()].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, in the middle of an operator.
+
+    What was made of them must stand as tables.  Shuffle files of finished queries go with the driver's next
+    garbage collection, which is asked for here, so that disk holds one phase at a time.
+    """
+    for t in tables:
+        for made in _made.values():
+            if t._scratch in made:
+                made.remove(t._scratch)
+        _delete(t.sparkSession, t._scratch)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 @contextlib.contextmanager
@@ -69,8 +91,7 @@ def owned_by(owner: str) -> Iterator[None]:
 def drop_scratch(spark: SparkSession, owner: str = "") -> None:
     """Delete the scratch tables of ``owner``; call when no result that reads them is still needed."""
     for path in _made.pop(owner, []):
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
 
 
 #: Words of 64 bits in a sieve, at most: the bound of what is broadcast (rows of two longs).

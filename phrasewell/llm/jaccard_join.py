@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, joined, materialize, sieved
+from .common import discard, in_groups, joined, materialize, sieved
 from .components import components
 
 #: Bits of a cell's number in the counting sketch: it grows with the input between these, a cell for every KB of files.
@@ -342,11 +342,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
     # priority keeps hubs few, as the same group tends to lead all shingles of a cluster.
     group = every.where("n > 0").groupBy("n", "p1", "p2").agg(F.first("prefix").alias("prefix"))
     group = materialize(group.select(F.xxhash64(F.monotonically_increasing_id()).alias("group"), "n", "p1", "p2", "prefix"), "groups")
+    ids = materialize(every.select("doc_id", "n", "s1", "s2"), "rows")
+    discard(every)
     heads = group.select("group", F.explode("prefix").alias("shingle"))
     hubs = heads.groupBy("shingle").agg(F.min("group").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     hubs = materialize(hubs.select("shingle", "hub"), "hubs")
-    clusters = materialize(heads.join(hubs.hint("merge"), "shingle").select("hub", "group").distinct(), "clusters")
-    clusters = materialize(undominated(clusters), "clusters")
+    seated = materialize(heads.join(hubs.hint("merge"), "shingle").select("hub", "group").distinct(), "clusters")
+    clusters = materialize(undominated(seated), "clusters")
+    discard(hubs, seated)
 
     # Filter pairs of groups by what sizes and prefixes allow.
     # Half of each hash will do here: what collides can only let a pair pass.
@@ -378,9 +381,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
 
     cached: list[np.ndarray] = []
     left = in_groups(seated.select("hub", "i", "j", "own", "group", "n", "final", "prefix"), ["hub", "i", "j"], ["own", "group"], sift, "hub long, group long").distinct()
-    left = materialize(undominated(materialize(left, "sifted")), "sifted")
+    sifted = materialize(left, "sifted")
+    left = materialize(undominated(sifted), "sifted")
     # Members of one group are a pair as well.
     named = materialize(sets.join(group.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).select("group", "node", "n"), "named")
+    discard(clusters, sifted, group)
     own = named.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("group").alias("hub"), "group")
     members = materialize(left.unionByName(own).distinct().join(named, "group").select("hub", "node", "n").distinct(), "seats")
 
@@ -439,5 +444,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, do
     links = found.where("n > 0").groupBy(F.col("a").alias("l")).agg(F.sum("n").alias("links"))
     facts = sets.join(named, F.col("node") == F.col("c"), "left").join(links, F.col("node") == F.col("l"), "left")
     facts = facts.select("n", "s1", "s2", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    ids = every.select("doc_id", "n", "s1", "s2").join(materialize(facts, "classes"), ["n", "s1", "s2"], "left")
-    return ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    out = ids.join(materialize(facts, "classes"), ["n", "s1", "s2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
