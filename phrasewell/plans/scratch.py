@@ -28,9 +28,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/phrasewell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables written by :func:`keep` in this application.
+_kept: list[str] = []
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Delete what :func:`keep` wrote; call when no index or answer that reads it is still needed (saved ones have files of their own)."""
+    while _kept:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lost executors don't lose it, and later plans prune its columns."""
     path = new_path(df.sparkSession, name)
+    _kept.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

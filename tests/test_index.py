@@ -1,5 +1,7 @@
 """Index build, search, analyses, refresh and sources on a small fixture."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,19 @@ def test_ranked_is_contiguous(spark):
     assert [r.n for r in got] == list(range(1, 1001)) and [r.k for r in got] == sorted(r.k for r in got)
 
 
+def test_kept_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    from phrasewell.plans import scratch
+
+    monkeypatch.setattr(scratch, "_kept", [])
+    at = str(tmp_path / "saved")
+    I.build(corpus(spark, FILES), 0).save(at)
+    paths = [p.removeprefix("file://") for p in scratch._kept]
+    assert paths and all(map(os.path.isdir, paths))
+    scratch.drop_kept(spark)
+    assert not scratch._kept and not any(map(os.path.exists, paths))
+    assert I.load(spark, at).occ.count() == 17
+
+
 def test_null_and_empty_files(code):
     stats = {r.file_path: r for r in code.files.collect()}
     assert stats["src/none.ts"].token_len == 0 and stats["src/empty.ts"].comment_ratio == 0.0
@@ -264,8 +279,6 @@ def test_follow_keeps_a_saved_index_fresh(spark, tmp_path):
 
 
 def test_poll_reads_only_what_time_points_at(spark, tmp_path):
-    import os
-
     root, at = tmp_path / "tree", str(tmp_path / "index")
     root.mkdir()
     for name, text in (("a.ts", "fn kiln()"), ("b.py", "ash = 1")):
