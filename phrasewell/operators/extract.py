@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ STRUCTURAL = re.compile(X.STRUCTURAL)
 LOWER = re.compile("[a-z]")
 MARKS = ("#", "//", "/*", "*", "<!--", ">")
 SPACES = re.compile(f"[{X.WHITE_SPACE}]+")
-OTHER_SPACE = re.compile("[" + X.WHITE_SPACE.replace(" ", "") + "]")
+RUN = re.compile(f"[^{X.WHITE_SPACE}]+")
 
 #: Occurrences of a phrase that samples look at: of a file, the first of these with a left word is kept.
 SAMPLES = 5
@@ -69,12 +70,19 @@ def zone(s: str, names: int) -> int:
     return 0
 
 
-def left_word(line: str, at: int) -> str:
-    """Last word of what stands before place ``at``: 30 characters at most, lower case."""
-    before = line[:at].rstrip(X.WHITE_SPACE)
-    if OTHER_SPACE.search(before):
-        return SPACES.split(before)[-1][:30].lower()
-    return before[before.rfind(" ") + 1 :][:30].lower()
+def left_word(line: str, starts: list[int], ends: list[int], at: int) -> str:
+    """Last word of what stands before place ``at``, within its run without white space or the run before: 30 characters at most, lower case.
+
+    ``starts, ends``: all runs of the line, found once for all of its identifiers, so that long lines take linear time.
+    """
+    k = bisect_right(starts, at) - 1
+    end = at
+    if starts[k] == at:
+        if not k:
+            return ""
+        k -= 1
+        end = ends[k]
+    return line[starts[k] : min(end, starts[k] + 30)].lower()
 
 
 def phrases(text: str) -> tuple[dict[str, list], int, int]:
@@ -91,14 +99,18 @@ def phrases(text: str) -> tuple[dict[str, list], int, int]:
         if not hits:
             continue
         z = zone(s, len(hits))
+        starts: list[int] = []
         for p, at in hits:
             if (e := found.get(p)) is None:
                 e = found[p] = [0, z, 0, n, "", 0, 0]
             e[2] += 1
             if z < e[1]:
                 e[1] = z
-            if not e[6] and e[2] <= SAMPLES and (w := left_word(line, at)):
-                e[4:] = w, n << 32 | at, e[2]
+            if not e[6] and e[2] <= SAMPLES:
+                if not starts:
+                    starts, ends = map(list, zip(*(m.span() for m in RUN.finditer(line)), strict=True))
+                if w := left_word(line, starts, ends, at):
+                    e[4:] = w, n << 32 | at, e[2]
         if not z and OPENER.search(line):
             for m in DEFINITION.finditer(line):
                 found[m.group()][0] = 1
